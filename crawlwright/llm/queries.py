@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlwright.llm import bpe, counts
-from crawlwright.llm.common import table
+from crawlwright.llm import bpe, counts, packing, records
+from crawlwright.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,3 +27,13 @@ def op4_bpe_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query
+def op6_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
+
+
+@query
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, folder=fresh_path(spark, "records"))
