@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlwright.llm import ann, bpe, counts, packing, records, topk
+from crawlwright.llm import ann, bpe, counts, packing, records, substring, topk
 from crawlwright.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query
 def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op9_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = substring.dedup(spark, table(spark, sf_dir, "documents"), size=50)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
