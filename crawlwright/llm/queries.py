@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlwright.llm import ann, bpe, counts, packing, records, substring, topk
+from crawlwright.llm import ann, bpe, counts, jaccard, packing, records, substring, topk
 from crawlwright.llm.common import fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,34 @@ def op8_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = substring.dedup(spark, table(spark, sf_dir, "documents"), size=50)
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(spark, table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+ORACLE_SQL["op7_grouped_prefix_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+sh AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] FOR i IN range(1, len(ws) - 2)] END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sh),
+flat AS (SELECT doc_id, unnest(s) AS g FROM sh),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+walk(x, y) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT walk.x, b.y FROM walk JOIN both_ways b ON b.x = walk.y)
+SELECT s.doc_id AS doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(min(w.y) AS BIGINT) AS component_id
+FROM sizes s JOIN walk w ON w.x = s.doc_id GROUP BY ALL
+"""
