@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlwright.llm import ann, bpe, counts, jaccard, packing, records, substring, topk
-from crawlwright.llm.common import fresh_path, table
+from crawlwright.llm import ann, bpe, counts, jaccard, language, packing, records, substring, topk
+from crawlwright.llm.common import crc_mod, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -101,3 +101,11 @@ walk(x, y) AS (
 SELECT s.doc_id AS doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(min(w.y) AS BIGINT) AS component_id
 FROM sizes s JOIN walk w ON w.x = s.doc_id GROUP BY ALL
 """
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_mod("doc_id", 3)
+    found = language.identify(spark, docs, fold != 1)
+    return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
