@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlwright.llm import ann, bpe, counts, jaccard, language, packing, records, substring, topk
+from crawlwright.llm import ann, bpe, counts, jaccard, language, lm, packing, records, substring, topk
 from crawlwright.llm.common import crc_mod, fresh_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_mod("doc_id", 3)
     found = language.identify(spark, docs, fold != 1)
     return found.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = crc_mod("doc_id", 7)
+    scored = lm.score(spark, table(spark, sf_dir, "documents"), fold != 2)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
