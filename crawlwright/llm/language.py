@@ -121,12 +121,12 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 6,
             p[np.arange(len(rows)), y[rows]] -= 1
             p *= share[y[rows]][:, None] / len(rows)
             back = (p @ weights.T) / n[:, None]
-            weights -= step * SIZE * (v.T @ p)
+            weights -= step * 4 * (v.T @ p)
             bias -= step * p.sum(axis=0)
             mine = np.repeat(np.arange(len(rows)), n)
             used, inverse = np.unique(at, return_inverse=True)
             grad = np.stack([np.bincount(inverse, weights=back[mine, d], minlength=len(used)) for d in range(SIZE)], axis=1)
-            e[used] -= step * 200 * grad
+            e[used] -= step * 20 * grad
     model = Model(languages, e @ weights, bias)
     if len(held):
         x = model.logits(pa.array([texts[i] for i in held], pa.string()))
@@ -135,7 +135,7 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 6,
         p = softmax(x / model.heat)
         right = p.argmax(axis=1) == y[held]
         if right.any():
-            model.least = float(min(0.6, np.quantile(p.max(axis=1)[right], lose)))
+            model.least = float(min(0.4, np.quantile(p.max(axis=1)[right], lose)))
     return model
 
 

@@ -18,9 +18,10 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, n
     Words are runs of anything but space and the characters 9 to 13; a null text has none. lower: A-Z only.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     ends = lists.offsets.to_numpy()
-    words = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+    words = pc.ascii_lower(lists.values) if lower else lists.values  # ascii_lower goes wrong on a slice of an array
+    words = words.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
     codes = words.indices.to_numpy()
     blank = pc.index(words.dictionary, "").as_py() if len(words.dictionary) else -1
     ends = ends - ends[0]
