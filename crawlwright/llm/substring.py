@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +63,12 @@ def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.
     return found, np.split(values, first[1:]) if len(found) else []
 
 
-PATH = "pa long, pb long, n int"
+PATH = "pa long, pb long, n int, mer long"
 
 
 def _paths(texts: DataFrame, size: int) -> DataFrame:
-    """A row per path of a document that may repeat: (pa, pb, n: the path's hashes and number of windows, doc_id,
-    row_hash, pos, edges). edges holds the windows' hashes, for one of the equal paths of a batch."""
+    """A row per path of a document that may repeat: (pa, pb, n: the path's hashes and number of windows, mer: its
+    least k-mer, doc_id, row_hash, pos, edges). edges holds the windows' hashes in pairs, for one of the equal paths of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,18 +91,37 @@ def _paths(texts: DataFrame, size: int) -> DataFrame:
                 _, one = np.unique(np.stack([pa_, pb_]), axis=1, return_index=True)
                 sole = np.zeros(len(head), bool)
                 sole[one] = True
-                lengths = np.where(sole, n, 0)
-                pick = np.repeat(sole, n)
-                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                edge = pa.StructArray.from_arrays([pa.array(wa[pick].view(np.int64)), pa.array(wb[pick].view(np.int64))], ["a", "b"])
-                edges = pa.ListArray.from_arrays(pa.array(ends), edge, mask=pa.array(~sole))
+                both = np.stack([wa, wb], axis=1)
+                ends = np.cumsum(n)
+                edges = [both[i:j].tobytes() if one else None for i, j, one in zip(ends - n, ends, sole, strict=True)]
                 rows = pa.array(owner[head] + first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pa_.view(np.int64)), pa.array(pb_.view(np.int64)), pa.array(n.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - bounds[owner[head]]).astype(np.int32)), edges],
-                    ["pa", "pb", "n", "doc_id", "row_hash", "pos", "edges"],
+                    [pa.array(pa_.view(np.int64)), pa.array(pb_.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(least[start].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((start - bounds[owner[head]]).astype(np.int32)), pa.array(edges, pa.binary())],
+                    ["pa", "pb", "n", "mer", "doc_id", "row_hash", "pos", "edges"],
                 )
 
-    return texts.mapInArrow(run, PATH + ", doc_id long, row_hash long, pos int, edges array<struct<a: long, b: long>>")
+    return texts.mapInArrow(run, PATH + ", doc_id long, row_hash long, pos int, edges binary")
+
+
+def _edges(paths: DataFrame) -> DataFrame:
+    """A row per edge of distinct paths (pa, pb, n, least, edges): (id of the path, least, at, a, b); the row of a path's
+    first edge also has pa, pb and n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for first, part in w.slices(batch.column(4), SLICE_BYTES):
+                edges = np.frombuffer(b"".join(part.to_pylist()), np.int64).reshape(-1, 2)
+                n = batch.column(2).slice(first, len(part)).to_numpy()
+                row = np.repeat(np.arange(len(part)), n)
+                place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+                names = [pc.if_else(pa.array(place == 0), batch.column(c).take(pa.array(first + row)), None) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(at + row), batch.column(3).take(pa.array(first + row)), pa.array(place.astype(np.int32)), pa.array(edges[:, 0]), pa.array(edges[:, 1]), *names], ["id", "least", "at", "a", "b", "pa", "pb", "n"])
+                at += len(part)
+
+    return paths.select("pa", "pb", "n", "least", "edges").mapInArrow(run, "id long, least long, at int, a long, b long, pa long, pb long, n int")
 
 
 def _cut(texts: DataFrame, size: int) -> DataFrame:
@@ -146,17 +166,22 @@ def dedup(spark: SparkSession, docs: DataFrame, size: int = 50) -> tuple[DataFra
     read = save(spark, _read(docs, size), "substring-read")
     owned = read.filter(F.col("doc_id").isNotNull())
     mers = owned.select("doc_id", "row_hash", F.explode("mers").alias("mer"))
-    shared = mers.groupBy("mer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mer")
+    # what joins with tables of many rows a key is written first, so that Spark can split such a key
+    shared = save(spark, mers.groupBy("mer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mer"), "substring-mers")
     hints = mers.join(shared, "mer").groupBy("doc_id", "row_hash").agg(F.collect_list("mer").alias("mers"))
     texts = save(spark, docs.join(hints, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "text", "mers"), "substring-texts")
     paths = save(spark, _paths(texts, size), "substring-paths")
     key = ["pa", "pb", "n"]
-    graph = save(spark, paths.groupBy(*key).agg(F.min("doc_id").alias("least"), F.first("edges", ignorenulls=True).alias("edges")), "substring-graph")
-    edges = graph.select(*key, "least", F.posexplode("edges").alias("at", "e")).select(*key, "least", "at", "e.a", "e.b")
-    branch = edges.groupBy("a", "b").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("a", "b", "lo")
-    also = edges.join(branch, ["a", "b"]).filter("lo < least").groupBy(*key).agg(F.collect_list("at").alias("some"))
+    graph = save(spark, paths.groupBy(*key, "mer").agg(F.min("doc_id").alias("least")), "substring-graph")
+    branching = graph.groupBy("mer").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("mer")
+    doubt = graph.join(branching, "mer").select(*key, "least")
+    taken = paths.filter("edges is not null").select(*key, "edges").join(doubt, key).dropDuplicates(key)  # dealt by key already
+    edges = save(spark, _edges(taken), "substring-edges")
+    branch = save(spark, edges.groupBy("a", "b").agg(F.min("least").alias("lo"), F.max("least").alias("hi")).filter("lo < hi").select("a", "b", "lo"), "substring-branch")
+    also = edges.select("id", "least", "at", "a", "b").join(branch, ["a", "b"]).filter("lo < least").groupBy("id").agg(F.collect_list("at").alias("some"))
+    also = edges.filter("at = 0").select("id", *key).join(also, "id").select(*key, "some")
     answer = save(spark, graph.select(*key, "least").join(also, key, "left"), "substring-answer")
-    forget(spark, graph)
+    forget(spark, shared, graph, edges, branch)
     spans = (
         paths.select(*key, "doc_id", "row_hash", "pos")
         .join(answer, key)
