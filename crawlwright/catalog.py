@@ -1,14 +1,12 @@
-"""Query name -> Spark function, and the same in SQL."""
+"""All queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from crawlwright.queries import pages, relational, text  # noqa: F401  they register their queries
+from crawlwright.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return pages.site_scorecard(spark, sf_dir)
