@@ -57,12 +57,12 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.
     reach = np.abs(queries).max(initial=0) * np.abs(block).max(initial=0) * queries.shape[1]
     if whole and reach >= 2.0**53:
         exact = np.array([[int(x) for x in r] for r in queries], object) @ np.array([[int(x) for x in r] for r in block], object).T
-        scores = np.clip(exact, -(2**63), 2**63 - 1)
+        scores = np.clip(exact, -(2**63) + 1, 2**63 - 1)
         taken = [(r, scores[r, c], ids[c]) for r in range(len(queries)) for c in range(len(ids)) if query_ids[r] != ids[c]]
         taken.sort(key=lambda x: (x[0], -x[1], x[2]))
         rows = np.array([t[0] for t in taken], np.int64)
         keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        return rows[keep], np.array([t[1] for t in taken], object)[keep], np.array([t[2] for t in taken], np.int64)[keep]
+        return rows[keep], np.array([t[1] for t in taken], np.int64)[keep], np.array([t[2] for t in taken], np.int64)[keep]
     scores = queries @ block.T
     low, high = np.searchsorted(ids, query_ids, side="left"), np.searchsorted(ids, query_ids, side="right")
     for r in np.flatnonzero(high > low):
@@ -71,7 +71,7 @@ def tile(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.
     slack = 0.0 if whole else reach * 1e-14
     rows, cols = np.nonzero((scores >= (least - slack)[:, None]) & (scores > -np.inf))
     if whole:
-        return best(rows, scores[rows, cols], ids[cols], k)
+        return best(rows, scores[rows, cols].astype(np.int64), ids[cols], k)
     again = np.concatenate([(queries[rows[i : i + 65536]] * block[cols[i : i + 65536]]).sum(axis=1) for i in range(0, len(rows), 65536)] or [np.zeros(0)])
     return best(rows, again, ids[cols], k)
 
@@ -97,7 +97,7 @@ LIST = "query_id long, part long, top array<struct<less: {0}, id: long>>"
 def as_lists(query_ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, part: int, kind: pa.DataType) -> pa.RecordBatch:
     """Triples sorted by row, as rows of LIST. The score is negated: the best sorts first."""
     present, first = np.unique(rows, return_index=True)
-    less = pa.array([max(-int(s), -(2**63) + 1) for s in scores], kind) if pa.types.is_integer(kind) else pa.array(-scores.astype(float), kind)
+    less = pa.array(-scores, kind)
     items = pa.StructArray.from_arrays([less, pa.array(ids, pa.int64())], ["less", "id"])
     top = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), items)
     return pa.RecordBatch.from_arrays([pa.array(query_ids[present], pa.int64()), pa.array([part] * len(present), pa.int64()), top], ["query_id", "part", "top"])
@@ -127,7 +127,7 @@ def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: in
                 return
             shape = (lambda m: np.floor(scale * m)) if whole else (lambda m: m)
             by_size = {m.shape[1]: (rows, shape(m)) for rows, m in matrix(vectors)}
-            found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+            found = (np.zeros(0, np.int64), np.zeros(0, np.int64 if whole else float), np.zeros(0, np.int64))
             for batch in batches:
                 for rows, m in matrix(batch.column(1)):
                     if m.shape[1] not in by_size:
