@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from crawlwright.functions import classify
 from crawlwright.functions import text as t
-from crawlwright.operators import audits
-from crawlwright.plans import sinks
+from crawlwright.operators import audits, readiness
+from crawlwright.plans import probes, sinks
 from crawlwright.queries import pages as p
 from crawlwright.registry import query, table
 from crawlwright.sources import sitemaps
@@ -129,3 +130,62 @@ def intent_coverage(spark, sf_dir):
     pairs = f.join(f.select(F.col("page_id").alias("other"), F.col("title").alias("wanted")), F.col("other") == F.expr("page_id div 2"))
     tokens = F.slice(t.tokens(F.col("wanted"), t.KEYWORD_STOP_WORDS), 1, 8)
     return pairs.filter(F.size(tokens) >= 2).select("page_id", F.floor(100.0 * t.coverage(tokens, t.normal(F.col("title"))) + 0.5).alias("coverage"))
+
+
+_CHECKS_SQL = """ch AS (
+  SELECT 'https://s.com/' || CAST(l_orderkey % 300 AS VARCHAR) AS page_url, CASE l_linenumber % 4 WHEN 0 THEN 'internal' WHEN 1 THEN 'external' WHEN 2 THEN 'image' ELSE 'canonical' END AS kind,
+    CASE WHEN l_partkey % 11 = 0 THEN 'http://t.com/' ELSE 'https://t.com/' END || CAST(l_partkey AS VARCHAR) AS url,
+    CASE l_suppkey % 10 WHEN 0 THEN 404 WHEN 1 THEN 429 WHEN 2 THEN 522 WHEN 3 THEN NULL ELSE 200 END AS status, CAST(floor(l_extendedprice * 10) AS BIGINT) AS content_length, l_quantity > 40 AS redirected
+  FROM lineitem),
+fl AS (SELECT *, status IS NOT NULL AND status < 400 AS ok, NOT coalesce(status IN (408, 425, 429, 503), false) AND NOT coalesce(kind = 'internal' AND status BETWEEN 520 AND 526, false) AND (status IS NULL OR status >= 400) AS bad FROM ch),
+pp AS (SELECT page_url, count(*) FILTER (kind = 'internal' AND bad) AS broken_internal, count(*) FILTER (kind = 'external' AND bad) AS broken_external,
+  count(*) FILTER (kind = 'internal' AND NOT bad AND coalesce(status, 0) <> 429 AND redirected) AS redirecting_internal, count(*) FILTER (kind = 'image' AND bad) AS broken_images,
+  count(*) FILTER (kind = 'image' AND ok AND content_length > 500000) AS large_images, count(*) FILTER (kind IN ('internal', 'external', 'image') AND starts_with(url, 'http:')) AS insecure FROM fl GROUP BY page_url)"""
+
+
+def _checks(spark, sf_dir):
+    status = F.when(F.col("l_suppkey") % 10 == 0, 404).when(F.col("l_suppkey") % 10 == 1, 429).when(F.col("l_suppkey") % 10 == 2, 522).when(F.col("l_suppkey") % 10 != 3, 200)
+    kind = F.element_at(F.array(F.lit("internal"), F.lit("external"), F.lit("image"), F.lit("canonical")), F.col("l_linenumber") % 4 + 1)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("https://s.com/"), (F.col("l_orderkey") % 300).cast("string")).alias("page_url"),
+        kind.alias("kind"),
+        F.concat(F.when(F.col("l_partkey") % 11 == 0, "http://t.com/").otherwise("https://t.com/"), F.col("l_partkey").cast("string")).alias("url"),
+        status.alias("status"),
+        F.floor(F.col("l_extendedprice") * 10).alias("content_length"),
+        (F.col("l_quantity") > 40).alias("redirected"),
+        F.lit(False).alias("guarded"),
+        F.lit("").alias("error"),
+    )
+    return rows.withColumn("ok", F.coalesce(F.col("status") < 400, F.lit(False)))
+
+
+@query("WITH " + _CHECKS_SQL + " SELECT * FROM pp")
+def resource_probes(spark, sf_dir):
+    return probes.page_probes(_checks(spark, sf_dir)).drop("canonical_broken", "canonical_moved")
+
+
+@query("WITH " + _CHECKS_SQL + " " + " UNION ALL ".join(f"SELECT page_url, {seq} AS rule_seq, '{sev}' AS severity, '{title}' AS rule FROM pp WHERE {cond}" for seq, title, sev, _, cond in probes.PROBE_RULES if seq < 30))
+def probe_findings(spark, sf_dir):
+    return probes.probe_findings(_checks(spark, sf_dir)).filter("rule_seq < 30").select("page_url", "rule_seq", "severity", "rule")
+
+
+_ASKS = readiness.QUESTION.replace("'", "''")
+
+
+@query(
+    p.FACTS_SQL + f""", n AS (SELECT host, count(*) AS pages, count(*) FILTER (word_count < 250) AS thin, count(*) FILTER (inner_links = 0) AS isolated,
+  count(*) FILTER (regexp_matches(lower(title), '{_ASKS}') OR len([h FOR h IN headings IF regexp_matches(lower(h), '{_ASKS}')]) > 0) AS asking, count(*) FILTER (len(headings) >= 3) AS sectioned FROM facts GROUP BY host)
+SELECT host, pages, thin, isolated, asking, sectioned, CAST(greatest(0, 100 - CASE WHEN thin > 0 THEN 28 ELSE 0 END - 16 - 18 - CASE WHEN asking = 0 AND sectioned = 0 THEN 10 ELSE 0 END) AS INTEGER) AS score FROM n"""
+)
+def answer_readiness(spark, sf_dir):
+    return readiness.readiness(p._facts(spark, sf_dir)).select("host", "pages", "thin", "isolated", "asking", "sectioned", "score")
+
+
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, CAST(floor(s_acctbal / 100) AS BIGINT) AS score, s_suppkey = min(s_suppkey) OVER (PARTITION BY s_nationkey) AS mine FROM supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, mine DESC, s_suppkey) AS place FROM s)
+SELECT s_nationkey, count(*) FILTER (NOT mine) AS competitors, CAST(max(place) FILTER (mine) AS INTEGER) AS target_rank, max(score) FILTER (mine) AS target_score, CAST(floor(avg(score) FILTER (NOT mine) + 0.5) AS BIGINT) AS average,
+  arg_min(s_suppkey, place) FILTER (NOT mine) AS best_host, max(score) FILTER (NOT mine) AS best_score, greatest(0, max(score) FILTER (NOT mine) - max(score) FILTER (mine)) AS gap FROM r GROUP BY s_nationkey""")
+def competitor_benchmark(spark, sf_dir):
+    first = F.col("s_suppkey") == F.min("s_suppkey").over(W.partitionBy("s_nationkey"))
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("host"), F.floor(F.col("s_acctbal") / 100).alias("score"), first.alias("mine"))
+    return readiness.benchmark(s, "s_nationkey", "mine")
