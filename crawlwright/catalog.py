@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlwright.queries import audits, pages, relational, text  # noqa: F401  they register their queries
+from crawlwright.queries import audits, pages, relational, text, workflow  # noqa: F401  they register their queries
 from crawlwright.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
