@@ -28,10 +28,10 @@ def ctr(rows: DataFrame, column: str = "ctr") -> DataFrame:
     the import is in shares. Without a value clicks by impressions count."""
     text = F.trim(F.col(column).cast("string"))
     parsed = F.coalesce(F.trim(F.regexp_replace(text, "[,%]", "")).try_cast("double"), F.lit(0.0))
-    share = rows.agg(F.coalesce(F.bool_or(~text.contains("%") & (parsed > 0) & (parsed < 1)), F.lit(False)).alias("_share"))
-    given = F.when(text.contains("%") | (parsed > 1), parsed / 100).when(parsed == 1, F.when(F.col("_share"), 1.0).otherwise(0.01)).otherwise(parsed)
+    shares = bool(rows.agg(F.bool_or(~text.contains("%") & (parsed > 0) & (parsed < 1))).first()[0])  # one value
+    given = F.when(text.contains("%") | (parsed > 1), parsed / 100).when(parsed == 1, F.lit(1.0 if shares else 0.01)).otherwise(parsed)
     derived = F.when(F.col("impressions") > 0, F.col("clicks") / F.col("impressions")).otherwise(0.0)
-    return rows.join(F.broadcast(share)).withColumn(column, F.when(text.isNotNull() & (text != ""), given).otherwise(derived)).drop("_share")  # share is one row
+    return rows.withColumn(column, F.when(text.isNotNull() & (text != ""), given).otherwise(derived))
 
 
 def keyword_checks(rows: DataFrame) -> DataFrame:

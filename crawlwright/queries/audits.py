@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from crawlwright.functions import classify
 from crawlwright.functions import text as t
-from crawlwright.operators import audits, readiness
+from crawlwright.operators import audits, platforms, readiness
 from crawlwright.plans import probes, sinks
 from crawlwright.queries import pages as p
 from crawlwright.registry import query, table
@@ -189,3 +189,26 @@ def competitor_benchmark(spark, sf_dir):
     first = F.col("s_suppkey") == F.min("s_suppkey").over(W.partitionBy("s_nationkey"))
     s = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("host"), F.floor(F.col("s_acctbal") / 100).alias("score"), first.alias("mine"))
     return readiness.benchmark(s, "s_nationkey", "mine")
+
+
+_UTM = "regexp_replace(lower(trim(o_orderpriority)), '\\s+', '-', 'g')"
+
+
+@query("SELECT o_orderkey, 'https://x.com/p?id=' || CAST(o_custkey AS VARCHAR) || '&utm_source=' || lower(o_orderstatus) || '&utm_campaign=' || " + _UTM + " || '#top' AS link FROM orders WHERE o_orderkey < 500")
+def utm_links(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").filter("o_orderkey < 500")
+    url = F.concat(F.lit("https://x.com/p?utm_source=old&id="), F.col("o_custkey").cast("string"), F.lit("#top"))
+    return o.select("o_orderkey", platforms.utm(url, source=F.col("o_orderstatus"), medium=F.lit(""), campaign=F.col("o_orderpriority")).alias("link"))
+
+
+@query("SELECT p_brand AS site, 'shopify' AS id, least(count(*), 4) AS matches, CASE WHEN count(*) >= 2 THEN 'high' ELSE 'medium' END AS confidence FROM part WHERE contains(lower('https://cdn.' || p_name || '.com'), 'blue') GROUP BY p_brand")
+def platform_signals(spark, sf_dir):
+    name = F.when(F.lower("p_name").contains("blue"), F.lit("https://cdn.shopify.com/x.js")).otherwise(F.lit("https://x.com/app.js"))
+    return platforms.detect(table(spark, sf_dir, "part").select(F.col("p_brand").alias("site"), name.alias("signal")), "site")
+
+
+@query("SELECT page_id, contains(regexp_replace(html, '\\D', '', 'g'), CAST(4000000 + page_id AS VARCHAR)) AS phone, contains(lower(html), 'the') AS phrase FROM pages")
+def local_match(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    phone = (F.lit(4000000) + F.col("page_id")).cast("string")
+    return pages.select("page_id", platforms.names_phone(F.col("html"), phone).alias("phone"), platforms.names_phrase(F.col("html"), F.lit("The")).alias("phrase"))
