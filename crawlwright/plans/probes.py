@@ -111,3 +111,39 @@ def performance_findings(speed: DataFrame) -> DataFrame:
     c = F.col
     rules = F.array_compact(F.array(step(1, c("score") < 75, c("score") < 50), step(2, c("lcp") > 2500, c("lcp") > 4000), step(3, c("tbt") > 300, c("tbt") > 600), step(4, c("cls") > 0.1, c("cls") > 0.25)))
     return speed.select("url", F.explode(rules).alias("f")).select("url", "f.*")
+
+
+#: Rule, title, severity and the sums of a page's resources that decide.
+WATERFALL_RULES = [
+    (6, "Render-blocking resources", "warning", "render_blocking >= 2"),
+    (7, "Heavy JavaScript payload", "warning", "script_bytes >= 307200"),
+    (8, "Heavy image payload", "notice", "image_bytes >= 716800"),
+    (9, "Slow resource requests", "notice", "slow > 0"),
+    (10, "Large total page payload", "notice", "bytes >= 2097152"),
+    (11, "Many third-party resources", "notice", "third_party >= 12"),
+]
+#: Guards, which tell that rendering supplies what the plain HTML lacks; s is static, r rendered.
+GUARDS = [
+    (22, "H1 exists after render", "s.h1_count = 0 and r.h1_count > 0"),
+    (23, "Internal links exist after render", "s.inner_links = 0 and r.inner_links > 0"),
+    (24, "Content is not thin after render", "s.word_count < 50 and r.word_count >= 250"),
+    (25, "Title exists after render", "s.title = '' and r.title <> ''"),
+    (26, "Description exists after render", "s.description = '' and r.description <> ''"),
+    (27, "Canonical exists after render", "s.canonical = '' and r.canonical <> ''"),
+    (28, "Viewport exists after render", "s.viewport = '' and r.viewport <> ''"),
+    (29, "Social images exist after render", "(s.og_image = '' or s.twitter_image = '') and r.og_image <> '' and r.twitter_image <> ''"),
+    (30, "Structured data exists after render", "s.json_ld = 0 and r.json_ld > 0"),
+]
+
+
+def waterfall_findings(sums: DataFrame, by: str) -> DataFrame:
+    """(by, rule_seq, severity, rule) from a page's resource sums (with render_blocking)."""
+    fired = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.lit(seq).alias("rule_seq"), F.lit(severity).alias("severity"), F.lit(title).alias("rule"))) for seq, title, severity, when in WATERFALL_RULES]))
+    return sums.select(by, F.explode(fired).alias("f")).select(by, "f.*")
+
+
+def guards(static: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(page_id, rule_seq, severity good, rule) of pages that both tables of facts have."""
+    both = static.alias("s").join(rendered.alias("r"), F.col("s.page_id") == F.col("r.page_id"))
+    fired = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.lit(seq).alias("rule_seq"), F.lit("good").alias("severity"), F.lit(title).alias("rule"))) for seq, title, when in GUARDS]))
+    return both.select("s.page_id", F.explode(fired).alias("f")).select("page_id", "f.*")

@@ -212,3 +212,24 @@ def local_match(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     phone = (F.lit(4000000) + F.col("page_id")).cast("string")
     return pages.select("page_id", platforms.names_phone(F.col("html"), phone).alias("phone"), platforms.names_phrase(F.col("html"), F.lit("The")).alias("phrase"))
+
+
+_BIG = "r2 AS (SELECT page % 400 AS page, type, bytes, duration, first_party FROM r), w AS (SELECT page, count(*) FILTER (type IN ('script', 'stylesheet') AND duration < 400) AS render_blocking, CAST(coalesce(sum(bytes) FILTER (type = 'script'), 0) AS BIGINT) AS script_bytes, CAST(coalesce(sum(bytes) FILTER (type = 'image'), 0) AS BIGINT) AS image_bytes, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) FILTER (duration >= 1000) AS slow, count(*) FILTER (NOT first_party) AS third_party FROM r2 GROUP BY page)"
+
+
+@query("WITH " + _RESOURCES_SQL + ", " + _BIG + " " + " UNION ALL ".join(f"SELECT page, {seq} AS rule_seq, '{sev}' AS severity, '{title}' AS rule FROM w WHERE {cond}" for seq, title, sev, cond in probes.WATERFALL_RULES))
+def waterfall_findings(spark, sf_dir):
+    rows = _resources(spark, sf_dir).withColumn("page", F.col("page") % 400)
+    blocking = rows.groupBy("page").agg(F.count_if(F.col("type").isin("script", "stylesheet") & (F.col("duration") < 400)).alias("render_blocking"))
+    return probes.waterfall_findings(audits.waterfall(rows, "page").join(blocking, "page"), "page")
+
+
+_RENDERED = "f2 AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 0 ELSE h1_count END AS h1, CASE WHEN page_id % 4 = 0 THEN 10 ELSE word_count END AS words, CASE WHEN page_id % 5 = 0 THEN '' ELSE title END AS t, h1_count, word_count, title FROM facts)"
+
+
+@query(p.FACTS_SQL + ", " + _RENDERED + " SELECT page_id, 22 AS rule_seq, 'H1 exists after render' AS rule FROM f2 WHERE h1 = 0 AND h1_count > 0 UNION ALL SELECT page_id, 24, 'Content is not thin after render' FROM f2 WHERE words < 50 AND word_count >= 250 UNION ALL SELECT page_id, 25, 'Title exists after render' FROM f2 WHERE t = '' AND title <> ''")
+def render_guards(spark, sf_dir):
+    """Facts of pages against the same with some of them blanked, as a plain fetch would see an app shell."""
+    full = p._facts(spark, sf_dir)
+    plain = full.withColumns({"h1_count": F.when(F.col("page_id") % 3 == 0, 0).otherwise(F.col("h1_count")), "word_count": F.when(F.col("page_id") % 4 == 0, 10).otherwise(F.col("word_count")), "title": F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("title"))})
+    return probes.guards(plain, full).select("page_id", "rule_seq", "rule")
