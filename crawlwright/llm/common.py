@@ -1,14 +1,11 @@
-"""Helpers that all corpus operators share: tables, the shared folder, byte-slicing of Arrow batches."""
+"""Helpers that all corpus operators share: tables, the shared folder, bounded collects."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +46,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the tables behind frames that save() returned and that nothing reads any more."""
     for path in {os.path.dirname(f) for df in frames for f in df.inputFiles()}:
-        if os.path.basename(path).rpartition("-")[2].__len__() == 32:
+        if len(os.path.basename(path).rpartition("-")[2]) == 32:
             remove(spark, path)
 
 
@@ -58,14 +55,17 @@ def crc_mod(column: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(n), F.lit(0))
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """batch cut into runs of rows whose column holds about limit bytes at most."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if held and held + n > limit:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
+def most_frequent(df: DataFrame, count: str, most: int) -> pa.Table:
+    """The rows of df with the largest counts, `most` of them at most, on the driver.
+
+    A histogram of the counts' logarithms, with a few hundred classes, gives the least count to take; only rows
+    of that count and more are collected. An ordered limit would send that many rows from each task instead.
+    """
+    size = F.floor(F.log(F.col(count).cast("double")) * 16)
+    classes = sorted(((r["k"], r["n"]) for r in df.filter(F.col(count) > 0).groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for k, n in classes:
+        if held + n > most:
+            break
+        held, least = held + n, k
+    return df.filter(F.lit(False) if least is None else (F.col(count) > 0) & (size >= least)).toArrow()

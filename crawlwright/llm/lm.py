@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlwright.llm import words as w
-from crawlwright.llm.common import save
+from crawlwright.llm.common import most_frequent, save
 
 #: Vocabulary classes and words of one; classes of other words by form; size of the state.
 CLASSES, MEMBERS, FORMS, STATE = 32, 32, 48, 16
@@ -349,7 +349,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, key: str = "doc_i
     counts = save(spark, word_counts(training), "lm-counts")
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = int(n or 0), int(v)
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
+    top = most_frequent(counts, "c", KNOWN).sort_by([("c", "descending"), ("token", "ascending")])
     known = pa.array(top.column(0).to_pylist(), pa.large_string())
     c = top.column(1).to_numpy()
     vocabulary = known.slice(0, VOCABULARY)
