@@ -12,7 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from crawlwright.llm.chunks import ChunkCache, encoded, once
+from crawlwright.llm.chunks import ChunkCache, encoded
+from crawlwright.llm.held import once
 
 _BLOCK = 8  # a block of the bitmap spans 2**8 ranks
 

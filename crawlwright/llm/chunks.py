@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from crawlwright.llm.common import SLICE_BYTES
+from crawlwright.llm.held import once
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _CUT = re.compile(r" (?=\S)")
@@ -99,17 +100,6 @@ def _heads(texts: pa.Array) -> list[str]:
     return pc.list_element(pc.split_pattern(texts, " ", max_splits=1), 0).to_pylist() if len(texts) else []
 
 
-_MADE: dict[tuple, ChunkCache] = {}
-
-
-def once(key: tuple, make: Callable[[], ChunkCache]) -> ChunkCache:
-    """A worker process makes each cache once and keeps it for later tasks."""
-    if key not in _MADE:
-        _MADE.clear()  # a worker holds one at a time
-        _MADE[key] = make()
-    return _MADE[key]
-
-
 def library_cache(path: str) -> ChunkCache:
     """Chunks encoded by the tokenizers library from the file at path; values are little-endian uint32 ids."""
 
@@ -120,7 +110,7 @@ def library_cache(path: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        return ChunkCache(lambda xs: [np.asarray(e.ids, "<u4").tobytes() for x in range(0, len(xs), 20_000) for e in library.encode_batch_fast(xs[x : x + 20_000], add_special_tokens=False)], 1_000_000)
+        return ChunkCache(lambda xs: [np.asarray(e.ids, "<u4").tobytes() for x in range(0, len(xs), 20_000) for e in library.encode_batch_fast(xs[x : x + 20_000], add_special_tokens=False)], 500_000)
 
     return once(("library", path), make)
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from crawlwright.llm.chunks import ChunkCache, encoded, once, special_strings, split_text
+from crawlwright.llm.chunks import ChunkCache, encoded, special_strings, split_text
+from crawlwright.llm.held import once
 
 
 def _byte_of_char() -> dict[str, int]:

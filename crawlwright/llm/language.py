@@ -183,7 +183,7 @@ def identify(spark: SparkSession, docs: DataFrame, learn: Column, keep: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for first, texts in w.slices(batch.column(len(keep)), SLICE_BYTES):
+            for first, texts in w.slices(batch.column(len(keep)), SLICE_BYTES // 2):
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if m is None:
                     best, p, letters = np.zeros(len(texts), int), np.zeros(len(texts)), letters & False

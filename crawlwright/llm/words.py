@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from crawlwright.llm.held import release
+
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -17,6 +19,7 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, n
 
     Words are runs of anything but space and the characters 9 to 13; a null text has none. lower: A-Z only.
     """
+    release()
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     lists = pc.ascii_split_whitespace(texts)
     ends = lists.offsets.to_numpy()
