@@ -110,7 +110,7 @@ def library_cache(path: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        return ChunkCache(lambda xs: [np.asarray(e.ids, "<u4").tobytes() for x in range(0, len(xs), 20_000) for e in library.encode_batch_fast(xs[x : x + 20_000], add_special_tokens=False)], 500_000)
+        return ChunkCache(lambda xs: [np.asarray(e.ids, "<u4").tobytes() for x in range(0, len(xs), 20_000) for e in library.encode_batch_fast(xs[x : x + 20_000], add_special_tokens=False)], 700_000)
 
     return once(("library", path), make)
 
