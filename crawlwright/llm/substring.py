@@ -168,7 +168,7 @@ def dedup(spark: SparkSession, docs: DataFrame, size: int = 50) -> tuple[DataFra
     mers = owned.select("doc_id", "row_hash", F.explode("mers").alias("mer"))
     # what joins with tables of many rows a key is written first, so that Spark can split such a key
     shared = save(spark, mers.groupBy("mer").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mer"), "substring-mers")
-    hints = mers.join(shared, "mer").groupBy("doc_id", "row_hash").agg(F.collect_list("mer").alias("mers"))
+    hints = mers.join(shared, "mer").groupBy("doc_id", "row_hash").agg(F.collect_set("mer").alias("mers"))
     texts = save(spark, docs.join(hints, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "text", "mers"), "substring-texts")
     paths = save(spark, _paths(texts, size), "substring-paths")
     key = ["pa", "pb", "n"]
@@ -188,7 +188,7 @@ def dedup(spark: SparkSession, docs: DataFrame, size: int = 50) -> tuple[DataFra
         .select("doc_id", "row_hash", F.expr("case when doc_id > least then array(struct(pos as p, n as n)) when some is not null then transform(some, o -> struct(pos + o as p, 1 as n)) end").alias("spans"))
         .filter("spans is not null")
         .groupBy("doc_id", "row_hash")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        .agg(F.flatten(F.collect_set("spans")).alias("spans"))
     )
     changed = save(spark, _cut(texts.select("doc_id", "row_hash", "text").join(spans, ["doc_id", "row_hash"]).select("doc_id", "row_hash", "text", "spans"), size), "substring-changed")
     forget(spark, texts, paths, answer)
