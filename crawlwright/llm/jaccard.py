@@ -219,10 +219,10 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
     bucket = index.join(shared, "s")
     apart = members.groupBy("n", "grp").agg(F.count("*").alias("m")).filter("m > 1").select("n", "grp")
     crowd = members.join(apart, ["n", "grp"])
-    # groups are taken apart; a group of several sets is a bucket by itself, too
+    # groups are taken apart; a group of several sets is a bucket by itself, too, at place -1
     bucket = bucket.join(members.select("n", "grp", "id"), ["n", "grp"]).select("s", "id", "n", "i", "size", "hub")
     own = crowd.groupBy("n", "grp").agg(F.count("*").alias("size"), F.min("id").alias("gid"))
-    own = crowd.join(own, ["n", "grp"]).select(F.xxhash64("n", "grp").alias("s"), "id", "n", F.lit(0).alias("i"), "size", F.struct(F.lit(0).alias("i"), F.xxhash64("gid").alias("z"), "gid", "n").alias("hub"))
+    own = crowd.join(own, ["n", "grp"]).select(F.xxhash64("n", "grp").alias("s"), "id", "n", F.lit(-1).alias("i"), "size", F.struct(F.lit(0).alias("i"), F.xxhash64("gid").alias("z"), "gid", "n").alias("hub"))
     bucket = save(spark, bucket.unionByName(own), "jaccard-index")
     forget(spark, groups)
 
@@ -231,12 +231,13 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
     right = few.select("s", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
     pairs = left.join(right, "s").filter("x < y").filter(F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num)
     x, y = F.col("xn"), F.col("yn")
-    # of a pair all whose shared shingles are in small buckets, the number of these must be enough
-    count = pairs.groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("c"), F.max(_may(num, den)).alias("may"))
+    # of a pair all whose shared shingles are in small buckets, the number of these must be enough; two sets of one
+    # group share the whole prefix, though the index holds none of it that no other group has
+    count = pairs.groupBy("x", "y", "xn", "yn").agg(F.count("*").alias("c"), F.max(_may(num, den)).alias("may"), F.min("xi").alias("first"))
     many = bucket.filter(F.col("size") > SMALL)
     wide = many.select("id").distinct()
     enough = F.least(_length(x, num, den) - (x - _need(x, y, num, den)), _length(y, num, den) - (y - _need(x, y, num, den)))
-    small = count.join(wide.select(F.col("id").alias("x"), F.lit(True).alias("xw")), "x", "left").filter(F.col("may") & ((F.col("c") >= enough) | F.col("xw").isNotNull())).select("x", "y")
+    small = count.join(wide.select(F.col("id").alias("x"), F.lit(True).alias("xw")), "x", "left").filter(F.col("may") & ((F.col("first") < 0) | (F.col("c") >= enough) | F.col("xw").isNotNull())).select("x", "y")
     star = many.select(F.col("hub.gid").alias("x"), F.col("hub.n").alias("xn"), F.col("hub.i").alias("xi"), F.col("id").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"))
     star = star.filter("x <> y").filter(_may(num, den)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     first = save(spark, small.unionByName(star).distinct(), "jaccard-pairs")

@@ -52,6 +52,18 @@ def test_linked(spark, docs, rows, size, num, small, monkeypatch):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
+@pytest.mark.parametrize("size, num", [(4, 85), (5, 80)])
+def test_linked_inside_groups(spark, size, num):
+    """Isolated documents of equal size and prefix whose sets differ; no other document shares a shingle with them."""
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(100 + size - 1)]
+        for k in range(2 + g % 3):
+            rows.append((10 * g + k, " ".join([*base[:-1], f"last{k}"]), "en"))
+    got = jaccard.linked(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), size, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, size, num, 100)
+
+
 def test_linked_without_rows(spark, empty):
     assert jaccard.linked(spark, empty, 4, 85, 100).count() == 0
 
