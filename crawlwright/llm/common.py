@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker holds at a time (one longer text goes alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+#: Bytes that a batch of rows between Spark and a Python worker holds, about; a longer row goes alone. Rows alone don't
+#: bound a batch: ten thousand long texts are gigabytes, and a column of one batch ends at two.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches sent to Python workers hold BATCH_BYTES at most from now on in this session (less, if it says so)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._conf.get("crawlwright.shared.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="crawlwright-")
-        sc._conf.set("crawlwright.shared.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse, which is shared as well."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/crawlwright-work"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

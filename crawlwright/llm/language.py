@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlwright.llm import words as w
-from crawlwright.llm.common import SLICE_BYTES
+from crawlwright.llm.common import SLICE_BYTES, bounded
+from crawlwright.llm.held import trim
 
 #: The bounds of the training sample: rows of a language, languages (the most frequent), pieces of a text and words of a piece.
 ROWS, LANGUAGES, PIECES, PIECE_WORDS = 1500, 128, 2, 60
@@ -177,13 +178,17 @@ def identify(spark: SparkSession, docs: DataFrame, learn: Column, keep: tuple[st
     the calibrated probability; rejected tells whether it is less than what the calibration accepts, or lang_pred
     is `und`. Row-wise but for the sample; repeated rows give a row each; empty in, empty out.
     """
+    bounded(spark)
     model = spark.sparkContext.broadcast(fit(docs, learn))
-    fields = ", ".join(f"`{k}` {dict(docs.dtypes)[k]}" for k in keep)
+    kinds = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the text goes to the worker and only the answer comes back; Spark keeps the other columns meanwhile
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = model.value
         for batch in batches:
-            for first, texts in w.slices(batch.column(len(keep)), SLICE_BYTES // 2):
+            out = []
+            for _, texts in w.slices(batch, SLICE_BYTES):
                 letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if m is None:
                     best, p, letters = np.zeros(len(texts), int), np.zeros(len(texts)), letters & False
@@ -192,6 +197,9 @@ def identify(spark: SparkSession, docs: DataFrame, learn: Column, keep: tuple[st
                 names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, p, 0.0)
                 gone = ~letters | (score < (m.least if m else 1))
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, len(texts)) for c in batch.columns[: len(keep)]), pa.array(names, pa.string()), pa.array(score), pa.array(gone)], [*keep, "lang_pred", "score", "rejected"])
+                out.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(gone)], fields=list(kinds)))
+            yield pa.concat_arrays(out) if out else pa.array([], kinds)
+            trim()
 
-    return docs.select(*keep, F.col("text").alias("_whole")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    answers = docs.select(*keep, found.asNondeterministic()("text").alias("_found"))  # so that it runs once, however many columns are read
+    return answers.select(*keep, "_found.lang_pred", "_found.score", "_found.rejected")
