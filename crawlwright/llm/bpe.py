@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from crawlwright.llm.chunks import ChunkCache, encoded
+from crawlwright.llm.common import bounded
 from crawlwright.llm.held import once
 
 _BLOCK = 8  # a block of the bitmap spans 2**8 ranks
@@ -115,7 +116,7 @@ class ByteBpe:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def chunk_cache(self, cap: int = 200_000, pieces: int = 1_200_000) -> ChunkCache:
+    def chunk_cache(self, cap: int = 1_000_000, pieces: int = 400_000) -> ChunkCache:
         known: dict[str, bytes] = {}
         findall, merge = self.findall, self.merge
 
@@ -150,6 +151,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
     empty and gives no ids; repeated rows and null keys give a row each; other columns are left out; an
     empty table gives an empty one. Special strings are ordinary text. Texts are encoded whole.
     """
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, cache = _worker(path, pattern)
@@ -161,7 +163,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", key: str
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """(key, bytes) of ids as encode() gives them; null ids give null. Row-wise."""
+    """(key, bytes) of ids as encode() gives them; null ids give null. Row-wise: repeated rows and null keys give a row each, other
+    columns are left out, an empty table gives an empty one."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = _worker(path, pattern)
@@ -175,6 +179,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", key: str =
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256): encodes whole texts and decodes the ids in one pass,
     so that the ids themselves needn't leave the worker. Rows as for encode()."""
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = _worker(path, pattern)

@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from crawlwright.llm.chunks import ChunkCache, encoded, special_strings, split_text
+from crawlwright.llm.common import bounded
 from crawlwright.llm.held import once
 
 
@@ -157,7 +158,13 @@ class PrefixCounter:
         """Characters of the longest prefix of text that has budget tokens at most."""
         return int(np.flatnonzero(self.table(text) <= budget)[-1])
 
-    def chunk_cache(self, cap: int = 200_000, pieces: int = 1_200_000) -> ChunkCache:
+    def cut_at(self, chunks: list[str], upto: np.ndarray, k: int, budget: int) -> int:
+        """cut() of the chunks' text, where chunk k is the first whose tokens, with all before it (upto), pass the budget.
+        Before a special string the chunk on its left takes part, as a cut special string is ordinary text that may join it."""
+        first = k - 1 if k and chunks[k] in self.special and chunks[k - 1] not in self.special else k
+        return sum(map(len, chunks[:first])) + self.cut("".join(chunks[first : k + 1]), budget - (int(upto[first - 1]) if first else 0))
+
+    def chunk_cache(self, cap: int = 1_000_000, pieces: int = 1_200_000) -> ChunkCache:
         """chunk -> its token count, as a little-endian uint32."""
         known: dict[str, int] = {}
         findall, prefixes = self.pattern.findall, self.prefixes
@@ -175,7 +182,7 @@ class PrefixCounter:
         def many(chunks: list[str]) -> list[bytes]:
             return [(1 if c in self.special else sum(map(one, findall(c)))).to_bytes(4, "little") for c in chunks]
 
-        return ChunkCache(many, cap)
+        return ChunkCache(many, cap, tails=False)
 
 
 def _worker(path: str, pattern: str) -> ChunkCache:
@@ -191,16 +198,17 @@ def _worker(path: str, pattern: str) -> ChunkCache:
 def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit, fit_chars): exact counts of whole texts.
 
-    fit_chars is the length of the longest run of whole chunks from the text's start that has limit
-    tokens at most (a chunk ends before a space and a visible character); PrefixCounter.cut gives the
-    character-exact place for one text. Row-wise, without shuffle. A null text counts as empty: 0 bytes, 0 tokens.
+    fit_chars is the length in characters of the longest prefix that has limit tokens at most: the chunk in which the
+    limit is passed is found by sums, and its own table tells the place in it. Row-wise, without shuffle. A null text counts as empty: 0 bytes, 0 tokens.
     Repeated rows and null keys give a row each; other columns are left out; empty in, empty out. Special
     strings inside texts are one token each, as the tokenizers library has it by default.
     """
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _worker(path, pattern)
-        special = cache.counter.special
+        counter = cache.counter
+        special = counter.special
         for batch in batches:
             texts = batch.column(1).to_pylist()
             size, n, fit = [], [], []
@@ -210,7 +218,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = 1024, text
                 upto = np.cumsum(each, dtype=np.int64)
                 n.append(int(upto[-1]) if len(upto) else 0)
                 k = int(np.searchsorted(upto, limit, side="right"))
-                fit.append(len(t) if k == len(upto) else sum(map(len, split_text(t, special)[:k])))
+                fit.append(len(t) if k == len(upto) else counter.cut_at(split_text(t, special), upto, k, limit))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())], [key, "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from crawlwright.llm.chunks import encoded, library_cache, special_strings
-from crawlwright.llm.common import save
+from crawlwright.llm.common import bounded, save
 
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
@@ -22,8 +22,9 @@ def pieces(df: DataFrame, path: str, end_id: int, size: int, text: str = "text",
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids and end_id, cut every `size` ids.
 
     Row-wise; the ids stay in the worker. A null text counts as empty: its only id is end_id. Repeated rows
-    and null keys give pieces of their own.
+    and null keys give pieces of their own; an empty table gives none, and other columns are left out.
     """
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, special = library_cache(path), special_strings(path)
@@ -164,7 +165,8 @@ def assign(cut: DataFrame, size: int) -> DataFrame:
 
     The driver gets the histogram of lengths (size rows at most) and makes the plan; rows find their place
     by class and rank in a table of the plan's patterns, whose size depends on `size` alone. Sequences are
-    gapless from offset 0. A piece of full length is a sequence by itself and isn't shuffled for its offset.
+    gapless from offset 0. A piece of full length is a sequence by itself and isn't shuffled for its offset. Equal
+    rows each get a place; ties of length go by document, start and checksum, null documents first; an empty table gives no row.
     """
     unit = unit_of(size)
     classes = np.arange(1, size // unit + 1)
@@ -206,12 +208,17 @@ def assign(cut: DataFrame, size: int) -> DataFrame:
 
 
 def pack(spark: SparkSession, df: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
-    """Pieces of df's documents (doc_id, text) with their places. An empty table gives no row."""
+    """Pieces of df's documents (doc_id, text) with their places.
+
+    A null text is a document of end_id alone; a null doc_id and repeated rows are documents of their own. Other
+    columns are left out, whatever their names. An empty table gives no row.
+    """
     return assign(save(spark, pieces(df, path, end_id, size), "pieces"), size)
 
 
 def sequences(df: DataFrame, packed: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(sequence_id, ids array): the packed sequences themselves, for documents whose ids are unique."""
+    """(sequence_id, ids array): the packed sequences themselves, for documents whose ids are unique. Documents with a null id
+    are left out; a null text gives end_id alone; an empty table no sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, special = library_cache(path), special_strings(path)

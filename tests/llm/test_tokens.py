@@ -11,10 +11,11 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crawlwright.llm import bpe, chunks, counts, packing, records
-from crawlwright.llm.common import fresh_path, save
+from crawlwright.llm.common import BATCH_BYTES, fresh_path, save
 
 RANKS, BYTES, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 PIECES = ["a", "b", "the", " ", "  ", "\n", "\t", "'s", "'ll", "'", "l", "é", "ñ", "日本", "1", "23", "!!", "\xa0", "　", "\x1f", "\x85", "<|endoftext|>", "<|end", "text|>", "ing", " and", "Σ", "́", "😀", "²", "Ⅷ"]
@@ -194,3 +195,32 @@ def test_damage_is_noticed():
             list(records.frames(bytes(broken)))
     with pytest.raises(records.DamagedRecord):
         list(records.frames(data[:-3]))
+
+
+def test_count_tokens_cuts_where_the_prefix_table_does(spark, odd):
+    own = counts.PrefixCounter(BYTES, P.PATTERN)
+    df = spark.createDataFrame(list(enumerate(odd[:400])), "doc_id long, text string")
+    for limit in (0, 1, 4):
+        for r in counts.count_tokens(df, BYTES, P.PATTERN, limit).collect():
+            assert r["fit_chars"] == own.cut(odd[r["doc_id"]], limit)
+
+
+def test_cache_starts_afresh_beyond_its_bound(odd):
+    library = Tokenizer.from_file(WORDS)
+    small = chunks.LibraryCache(WORDS, cap=40)
+    for text, ids in zip(odd * 2, (x for i in range(0, 6000, 50) for x in chunks.encoded(pa.array((odd * 2)[i : i + 50]), small, chunks.special_strings(WORDS))), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 0 < len(small.held) <= 40
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    """Arrow batches follow bytes: rows of half a megabyte don't travel ten thousand at a time."""
+    long = spark.range(120).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id, ' other. '), 40000)").alias("text"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        assert records.tokens(long, WORDS, 1).agg(F.sum("n_tokens")).first()[0] > 120 * 3 * 40000
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
+        seen = long.coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long")
+        assert seen.agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
