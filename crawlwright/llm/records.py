@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from crawlwright.llm.chunks import encoded, library_cache, special_strings
-from crawlwright.llm.common import save
+from crawlwright.llm.common import bounded
 
 _MASK = 0xA282EAD8
 _HEAD, _ID = struct.Struct("<QI"), struct.Struct("<qBBH")
-#: Bytes of ids that a data file holds, about.
-FILE_BYTES = 32 << 20
+#: Bytes of ids that a data file holds, about, and bytes of text that make as many.
+FILE_BYTES, FILE_TEXT = 32 << 20, 64 << 20
 
 
 class DamagedRecord(ValueError):
@@ -69,12 +69,19 @@ def frame_at(view: memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
     return end + 5 - at, None if null else doc_id, np.frombuffer(view[begin + _ID.size : end], f"<u{width}")
 
 
-def tokens(df: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids binary): whole texts by the tokenizers library, end_id appended; 2 bytes an id if the
-    vocabulary allows. A null text counts as empty: its only id is end_id. Row-wise."""
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that an id takes: 2 if the vocabulary and end_id allow, else 4."""
     from tokenizers import Tokenizer
 
-    width = 2 if max(end_id + 1, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)) <= 1 << 16 else 4
+    return 2 if max(end_id + 1, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)) <= 1 << 16 else 4
+
+
+def tokens(df: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids binary): whole texts by the tokenizers library, end_id appended; 2 bytes an id if the
+    vocabulary allows. A null text counts as empty: its only id is end_id. Row-wise: repeated rows and null keys give a
+    row each, other columns are left out, empty in, empty out."""
+    width = id_width(path, end_id)
+    bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, special = library_cache(path), special_strings(path)
@@ -85,18 +92,28 @@ def tokens(df: DataFrame, path: str, end_id: int, text: str = "text", key: str =
     return df.select(key, text).mapInArrow(run, f"{key} long, n_tokens long, ids binary")
 
 
+def _dealt(df: DataFrame, value: str, key: str, files: int) -> DataFrame:
+    """df's key and value, dealt to files by ranges of the key and sorted. Rows of one key may be any number: the range
+    borders also take the value's hash and the row's place, so such a key is cut over several files. A null key comes first."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), files)
+    placed = df.select(F.col(key).cast("long").alias(key), value, F.xxhash64(value).alias("_h"), F.monotonically_increasing_id().alias("_m"))
+    return placed.repartitionByRange(n, key, "_h", "_m").sortWithinPartitions(key, "_h", "_m").select(key, value)
+
+
+def _put(spark: SparkSession, frames: DataFrame, folder: str) -> None:
+    frames.select(F.expr("cast(frame as string)").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
+    index(spark, folder).write.parquet(f"{folder}/index")
+
+
 def write(spark: SparkSession, ids: DataFrame, folder: str, key: str = "doc_id") -> None:
     """Writes (key, n_tokens, ids) as data files under folder/data and their index under folder/index.
 
-    The one shuffle deals rows by ranges of the key. Rows of one key may be any number: the range borders
-    also take the ids' hash and the row's place, so such a key is cut over several files. A null key comes
-    first. ids should be a written table, since dealing by ranges reads it twice.
+    The one shuffle deals rows by ranges of the key. ids should be a written table, since dealing by ranges
+    reads it twice; write_texts() needs none.
     """
     total, width = ids.agg(F.sum(F.length("ids")), F.max(F.length("ids") / F.col("n_tokens"))).first()
     width = int(width or 4)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // FILE_BYTES))
-    placed = ids.select(key, "ids", F.xxhash64("ids").alias("_h"), F.monotonically_increasing_id().alias("_m"))
-    placed = placed.repartitionByRange(n, key, "_h", "_m").sortWithinPartitions(key, "_h", "_m").select(key, "ids")
+    bounded(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,12 +121,28 @@ def write(spark: SparkSession, ids: DataFrame, folder: str, key: str = "doc_id")
             out = [frame(k, np.frombuffer(x, f"<u{width}"))[:-1] for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    placed.mapInArrow(run, "frame binary").select(F.expr("cast(frame as string)").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
-    index(spark, folder).write.parquet(f"{folder}/index")
+    _put(spark, _dealt(ids, "ids", key, -(-int(total or 0) // FILE_BYTES)).mapInArrow(run, "frame binary"), folder)
+
+
+def write_texts(spark: SparkSession, df: DataFrame, path: str, end_id: int, folder: str, text: str = "text", key: str = "doc_id") -> None:
+    """Encodes df's texts as tokens() does and writes them as write() does, in one pass: texts are dealt to the files
+    and sorted, and each file's task encodes them, so the ids are stored once, in the files."""
+    width = id_width(path, end_id)
+    total = df.agg(F.sum(F.octet_length(text))).first()[0]
+    bounded(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, special = library_cache(path), special_strings(path)
+        for batch in batches:
+            got = encoded(batch.column(1), cache, special)
+            out = [frame(k, np.append(x, end_id).astype(f"<u{width}"))[:-1] for k, x in zip(batch.column(0).to_pylist(), got, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+
+    _put(spark, _dealt(df, text, key, -(-int(total or 0) // FILE_TEXT)).mapInArrow(run, "frame binary"), folder)
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record, from the data files alone: shard (file name), ordinal, offset, n_bytes, doc_id,
+    """A row per record (none for an empty table; repeated records stay apart), from the data files alone: shard (file name), ordinal, offset, n_bytes, doc_id,
     start (ids of the records before it in the file), n_tokens, ids_crc32 (as little-endian uint32).
     Raises DamagedRecord if any frame fails its checks."""
 
@@ -133,7 +166,7 @@ INDEX = ["shard", "ordinal", "offset", "n_bytes", "doc_id", "start", "n_tokens",
 
 def read(spark: SparkSession, folder: str, seed: int | None = None) -> DataFrame:
     """(shard, place, doc_id, ids array) of all records; with a seed, each file's records come in an order
-    that the seed fixes, by random access through the index. place is that order."""
+    that the seed fixes, by random access through the index. place is that order. Null ids and repeated records come back as written."""
     offsets = spark.read.parquet(f"{folder}/index").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("ordinal", "offset"))).alias("at"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/data").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
 
@@ -160,8 +193,8 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(spark: SparkSession, df: DataFrame, path: str, end_id: int, folder: str) -> DataFrame:
     """Encodes df's texts, writes them under folder and returns summary() of what was written.
 
-    Repeated rows give a record each; an empty table gives no file and no row; other columns are left out.
+    Repeated rows give a record each, a null text one with the end id alone, a null key one with a null doc_id, before
+    all others; an empty table gives no record and no row; other columns are left out.
     """
-    ids = save(spark, tokens(df, path, end_id), "records-ids")
-    write(spark, ids, folder)
+    write_texts(spark, df, path, end_id, folder)
     return summary(spark, folder)
