@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlwright.llm import words as w
-from crawlwright.llm.common import most_frequent, save
+from crawlwright.llm.common import bounded, most_frequent, save
+from crawlwright.llm.held import trim
 
 #: Vocabulary classes and words of one; classes of other words by form; size of the state.
 CLASSES, MEMBERS, FORMS, STATE = 32, 32, 48, 16
@@ -31,7 +32,7 @@ VOCABULARY = CLASSES * MEMBERS
 #: Words whose counts are broadcast; counts of rarer ones are joined.
 KNOWN = 200_000
 #: Steps of a window, texts side by side, words of the warm-up sample.
-WINDOW, LANES, WARM = 48, 512, 400_000
+WINDOW, LANES, WARM = 48, 256, 400_000
 #: Stands for the end of a text; no word is empty.
 END = ""
 
@@ -82,104 +83,118 @@ class Net:
             at += p.size
         return Net(*out)
 
-    def run(self, ids: np.ndarray, first: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def run(self, ids: np.ndarray, first: np.ndarray, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """States after each of ids (steps x lanes), afresh where first; keep gets what backpropagation needs."""
         h, out = STATE, np.empty((*ids.shape, STATE), np.float32)
+        if keep is not None:
+            keep |= {"before": np.empty_like(out), "zr": np.empty((*ids.shape, 2 * h), np.float32), "n": np.empty_like(out), "a": np.empty_like(out)}
+        starts = first.any(axis=1)
         for t in range(len(ids)):
             x = self.x[ids[t]]
-            if first[t].any():
+            if starts[t]:
                 state = state * ~first[t][:, None]
             a = state @ self.u
             a += self.b
             zr = sigmoid(x[:, : 2 * h] + a[:, : 2 * h])
-            n = sigmoid(2 * (x[:, 2 * h :] + zr[:, h:] * a[:, 2 * h :]))
-            n *= 2
-            n -= 1
+            n = zr[:, h:] * a[:, 2 * h :]
+            n += x[:, 2 * h :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((state, zr, n, a[:, 2 * h :]))
-            state = n + zr[:, :h] * (state - n)
+                keep["before"][t], keep["zr"][t], keep["n"][t], keep["a"][t] = state, zr, n, a[:, 2 * h :]
+            state = state - n
+            state *= zr[:, :h]
+            state += n
             out[t] = state
         return out
 
     def output(self, states: np.ndarray, targets: np.ndarray, back: bool = False):
         """Log probability (natural) of each target after its state; with back also the gradients of their negative sum."""
-        s = states @ self.c
-        s += self.cb
-        s -= s.max(axis=1, keepdims=True)
         cls = np.where(targets < VOCABULARY, targets // MEMBERS, targets - VOCABULARY + CLASSES)
-        rows = np.arange(len(targets))
-        right = s[rows, cls]
-        np.exp(s, out=s)
-        total = s.sum(axis=1)
-        got = right - np.log(total)
+        got, s, total = shares(states, self.c, self.cb, cls)
         order = np.argsort(cls, kind="stable")
         border = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         if back:
             s /= total[:, None]
-            s[rows, cls] -= 1
+            s[np.arange(len(targets)), cls] -= 1
             ds = s @ self.c.T
-            dc, dcb = states.T @ s, s.sum(axis=0)
+            dc, dcb = states.T @ s, np.ones(len(s), np.float32) @ s
             dm, dmb = np.zeros_like(self.m), np.zeros_like(self.mb)
         for k in range(CLASSES):
             mine = order[border[k] : border[k + 1]]
             if not len(mine):
                 continue
             hs = states[mine]
-            o = hs @ self.m[k]
-            o += self.mb[k]
-            o -= o.max(axis=1, keepdims=True)
             at = targets[mine] - k * MEMBERS
-            r = np.arange(len(mine))
-            right = o[r, at]
-            np.exp(o, out=o)
-            total = o.sum(axis=1)
-            got[mine] += right - np.log(total)
+            more, o, total = shares(hs, self.m[k], self.mb[k], at)
+            got[mine] += more
             if back:
                 o /= total[:, None]
-                o[r, at] -= 1
-                dm[k], dmb[k] = hs.T @ o, o.sum(axis=0)
+                o[np.arange(len(mine)), at] -= 1
+                dm[k], dmb[k] = hs.T @ o, np.ones(len(o), np.float32) @ o
                 ds[mine] += o @ self.m[k].T
         return (got, ds, (dc, dcb, dm, dmb)) if back else got
 
     def learn(self, ids: np.ndarray, first: np.ndarray, targets: np.ndarray, real: np.ndarray, state: np.ndarray, sums: list[np.ndarray], rate: float) -> np.ndarray:
         """One window of truncated backpropagation and a step of stochastic gradient descent, scaled by each
         parameter's gradients so far (sums). Returns the state to carry on."""
-        h, kept = STATE, []
+        h, kept = STATE, {}
         out = self.run(ids, first, state, kept)
         at = np.flatnonzero(real.ravel())
         _, ds, (dc, dcb, dm, dmb) = self.output(out.reshape(-1, h)[at], targets.ravel()[at], back=True)
         douts = np.zeros((ids.size, h), np.float32)
         douts[at] = ds
         douts = douts.reshape(*ids.shape, h)
-        dx, da = np.empty((*ids.shape, 3 * h), np.float32), np.empty((*ids.shape, 3 * h), np.float32)
+        # what the step back multiplies with doesn't depend on it and is made for all steps at once
+        before, n, z, r = kept["before"], kept["n"], kept["zr"][..., :h], kept["zr"][..., h:]
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * z * (1 - z)
+        to_r = kept["a"] * r * (1 - r)
+        da, dn, back = np.empty((*ids.shape, 3 * h), np.float32), np.empty_like(out), np.ascontiguousarray(self.u.T)
+        starts = first.any(axis=1)
         d = np.zeros_like(state)
         for t in range(len(ids) - 1, -1, -1):
-            before, zr, n, an = kept[t]
-            z, r = zr[:, :h], zr[:, h:]
             d += douts[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            dx[t, :, :h] = da[t, :, :h] = dz
-            dx[t, :, h : 2 * h] = da[t, :, h : 2 * h] = dr
-            dx[t, :, 2 * h :] = dn
-            da[t, :, 2 * h :] = dn * r
-            d = (d * z + da[t] @ self.u.T) * ~first[t][:, None]
+            np.multiply(d, to_n[t], out=dn[t])
+            np.multiply(d, to_z[t], out=da[t, :, :h])
+            np.multiply(dn[t], to_r[t], out=da[t, :, h : 2 * h])
+            np.multiply(dn[t], r[t], out=da[t, :, 2 * h :])
+            d *= z[t]
+            d += da[t] @ back
+            if starts[t]:
+                d *= ~first[t][:, None]
         flat = da.reshape(-1, 3 * h)
-        befores = np.stack([k[0] for k in kept]).reshape(-1, h)
         order = np.argsort(ids.ravel(), kind="stable")
         used, begin = np.unique(ids.ravel()[order], return_index=True)
-        gx = np.add.reduceat(dx.reshape(-1, 3 * h)[order], begin, axis=0)
+        du, db = before.reshape(-1, h).T @ flat, np.ones(len(flat), np.float32) @ flat
+        da[..., 2 * h :] = dn
+        gx = np.add.reduceat(flat[order], begin, axis=0)
         scale = np.float32(1 / max(1, len(at)))
         sums[0][used] += (gx := gx * scale) ** 2
         self.x[used] -= rate * gx / (np.sqrt(sums[0][used]) + 1e-6)
-        for p, s, g in zip(self.parts()[1:], sums[1:], (befores.T @ flat, flat.sum(axis=0), dc, dcb, dm, dmb), strict=True):
+        for p, s, g in zip(self.parts()[1:], sums[1:], (du, db, dc, dcb, dm, dmb), strict=True):
             g = g * scale
             s += g * g
             p -= rate * g / (np.sqrt(s) + 1e-6)
         return out[-1]
 
 
+def shares(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log of the softmax's share at `at`, exponentials, their sums) by row. States lie between -1 and 1, so one
+    bound on all logits keeps the exponentials finite; rows that vanish under it are done by their own largest logit."""
+    s = states @ weights
+    s += bias - (bias + np.abs(weights).sum(axis=0)).max()
+    right = s[np.arange(len(at)), at]
+    np.exp(s, out=s)
+    total = s @ np.ones(s.shape[1], np.float32)
+    if (low := total < 1e-25).any():
+        own = states[low] @ weights + bias
+        own -= own.max(axis=1, keepdims=True)
+        right[low] = own[np.arange(len(own)), at[low]]
+        s[low] = np.exp(own)
+        total[low] = s[low].sum(axis=1)
+    return right - np.log(total), s, total
+
+
 def lanes(sizes: np.ndarray, width: int) -> list[np.ndarray]:
     """Texts dealt to at most `width` lanes of about equal length, longest first."""
     import heapq
@@ -200,20 +215,21 @@ def streams(codes: np.ndarray, bounds: np.ndarray, width: int) -> Iterator[tuple
     the window before. Where a lane is shorter than the window, real is false.
     """
     dealt = lanes(np.diff(bounds), width)
-    joined = [np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in lane]) for lane in dealt]
-    longest = len(joined[0]) if joined else 0
+    size = np.array([int((bounds[lane + 1] - bounds[lane]).sum()) for lane in dealt], np.int64)
+    texts = np.concatenate(dealt) if dealt else np.zeros(0, np.int64)
+    own = (bounds[1:] - bounds[:-1])[texts]
+    joined = np.arange(int(own.sum())) + np.repeat(bounds[:-1][texts] - (np.cumsum(own) - own), own)
+    begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     before = np.concatenate([[0], codes[:-1]])
     first = np.zeros(len(codes), bool)
     first[bounds[:-1]] = True
-    for at in range(0, longest, WINDOW):
-        live = [j[at : at + WINDOW] for j in joined if len(j) > at]
-        steps = len(live[0])
-        place = np.zeros((steps, len(live)), np.int64)
-        real = np.zeros((steps, len(live)), bool)
-        for i, j in enumerate(live):
-            place[: len(j), i] = j
-            real[: len(j), i] = True
+    for at in range(0, int(size.max(initial=0)), WINDOW):
+        live = int((size > at).sum())
+        left = size[:live] - at
+        step = np.arange(min(WINDOW, int(left.max())))[:, None]
+        real = step < left
+        place = np.where(real, joined[begin[:live] + at + np.minimum(step, left - 1)], 0)
         yield place, real, before[place], first[place], owner[place]
 
 
@@ -237,9 +253,9 @@ class Task:
         out[place], out[ends] = codes, len(words) - 1
         return np.concatenate([[0], ends + 1]), out, words, ids, rank
 
-    def windows(self, texts: pa.Array, width: int):
+    def windows(self, texts: pa.Array, width: int, numbers: tuple | None = None):
         """(inputs, starts, targets, real, text) of each window over the texts."""
-        bounds, codes, words, ids, rank = self.numbers(texts)
+        bounds, codes, words, ids, rank = numbers or self.numbers(texts)
         seen = ids[codes]
         end = ids[-1]
         for place, real, before, first, owner in streams(seen, bounds, width):
@@ -254,10 +270,10 @@ class Task:
             done += int(real.sum())
         return done
 
-    def score(self, texts: pa.Array) -> np.ndarray:
+    def score(self, texts: pa.Array, numbers: tuple | None = None) -> np.ndarray:
         """Natural log probability of each text by the network: classes and, in the vocabulary, words."""
         out, state = np.zeros(len(texts)), None
-        for inputs, first, targets, real, owner in self.windows(texts, LANES):
+        for inputs, first, targets, real, owner in self.windows(texts, LANES, numbers):
             state = np.zeros((inputs.shape[1], STATE), np.float32) if state is None else state[: inputs.shape[1]]
             states = self.net.run(inputs, first, state)
             state = states[-1]
@@ -271,11 +287,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(token, c) over docs' whole texts, with the end mark. Each part of the input is summed before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in w.slices(batch.column(0), PART_BYTES):
-                _, known, codes = w.split(texts, lower=True)
-                words = pa.concat_arrays([known.cast(pa.string()), pa.array([END])])
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(np.bincount(codes, minlength=len(known)), len(texts)).astype(np.int64))], ["token", "c"])
+        for batch in w.gathered(batches, 0, PART_BYTES):
+            texts = batch.column(0)
+            _, known, codes = w.split(texts, lower=True)
+            words = pa.concat_arrays([known.cast(pa.string()), pa.array([END])])
+            yield pa.RecordBatch.from_arrays([words, pa.array(np.append(np.bincount(codes, minlength=len(known)), len(texts)).astype(np.int64))], ["token", "c"])
 
     return docs.select("text").mapInArrow(run, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -303,9 +319,9 @@ def _averaged(spark: SparkSession, docs: DataFrame, start, known) -> np.ndarray
         net, sums = start.value
         net, sums = net.filled(net.flat()), [s.copy() for s in sums]
         task, done = Task(net, known.value), 0
-        for batch in batches:
-            for _, texts in w.slices(batch.column(0), PART_BYTES):
-                done += task.train(texts, 0.04, sums, LANES // 2)
+        for batch in w.gathered(batches, 0, PART_BYTES):
+            done += task.train(batch.column(0), 0.04, sums, LANES)
+            trim()
         if done:
             flat = net.flat().astype(np.float64) * done
             cuts = range(0, len(flat), BLOCK)
@@ -344,6 +360,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, key: str = "doc_i
     The counts of the KNOWN most frequent words are broadcast; each row's rarer words are joined with the count
     table, so no word with many rows enters the join. The network's size doesn't depend on the data.
     """
+    bounded(spark)
     rows = docs.select(F.col(key).alias("key"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     training = rows.filter("learn")
     counts = save(spark, word_counts(training), "lm-counts")
@@ -377,23 +394,25 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, key: str = "doc_i
 
         net, known, c, below = shared.value
         task, lc, row = Task(net, known), np.append(np.log10(c + 1.0), 0.0), TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for first, texts in w.slices(batch.column(1), PART_BYTES):
-                bounds, codes, words, ids, rank = task.numbers(texts)
-                size, owner = np.diff(bounds), np.repeat(np.arange(len(texts)), np.diff(bounds))
-                tally = lambda x: np.bincount(owner, weights=x[codes], minlength=len(texts))
-                word = lc[rank]  # rank -1: 0 here, joined later
-                outside = ids >= VOCABULARY
-                partial = task.score(texts) / np.log(10) + tally(np.where(outside, word - below[np.where(outside, ids - VOCABULARY, 0)], 0.0))
-                rare = np.flatnonzero(rank[codes] < 0)
-                pair, times = np.unique(owner[rare] * len(words) + codes[rare], return_counts=True)
-                ends = np.searchsorted(pair // len(words), np.arange(len(texts) + 1))
-                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([words.take(pa.array(pair % len(words))).cast(pa.string()), pa.array(times.astype(np.int64))], ["token", "m"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(len(texts))), batch.column(0).slice(first, len(texts)), pa.array(size.astype(np.int64)), pa.array(tally(rank >= 0).astype(np.int64)), pa.array(tally(word)), pa.array(partial), listed],
-                    ["row", "key", "n_tokens", "seen", "base", "partial", "rare"],
-                )
-                row += len(texts)
+        for batch in w.gathered(batches, 1, PART_BYTES):
+            texts = batch.column(1)
+            numbers = task.numbers(texts)
+            bounds, codes, words, ids, rank = numbers
+            size, owner = np.diff(bounds), np.repeat(np.arange(len(texts)), np.diff(bounds))
+            tally = lambda x: np.bincount(owner, weights=x[codes], minlength=len(texts))
+            word = lc[rank]  # rank -1: 0 here, joined later
+            outside = ids >= VOCABULARY
+            partial = task.score(texts, numbers) / np.log(10) + tally(np.where(outside, word - below[np.where(outside, ids - VOCABULARY, 0)], 0.0))
+            rare = np.flatnonzero(rank[codes] < 0)
+            pair, times = np.unique(owner[rare] * len(words) + codes[rare], return_counts=True)
+            ends = np.searchsorted(pair // len(words), np.arange(len(texts) + 1))
+            listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([words.take(pa.array(pair % len(words))).cast(pa.string()), pa.array(times.astype(np.int64))], ["token", "m"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row + np.arange(len(texts))), batch.column(0), pa.array(size.astype(np.int64)), pa.array(tally(rank >= 0).astype(np.int64)), pa.array(tally(word)), pa.array(partial), listed],
+                ["row", "key", "n_tokens", "seen", "base", "partial", "rare"],
+            )
+            row += len(texts)
+            trim()
 
     kind = dict(rows.dtypes)["key"]
     scored = save(spark, rows.select("key", "text").mapInArrow(run, f"row long, key {kind}, n_tokens long, seen long, base double, partial double, rare array<struct<token: string, m: long>>"), "lm-scored")

@@ -102,3 +102,21 @@ def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
         yield at, texts.slice(at, upto - at)
         at = upto
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, in order, in batches of about limit bytes in the text column; a longer text goes alone."""
+    held, size = [], 0
+    for batch in batches:
+        for at, texts in slices(batch.column(column), limit):
+            held.append(batch.slice(at, len(texts)))
+            size += pc.sum(pc.fill_null(pc.binary_length(texts), 0)).as_py() or 0
+            if size >= limit // 2:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
