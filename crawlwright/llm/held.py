@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -35,3 +35,10 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # a C library without it
+
+
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; after each the worker gives back what it needed for it."""
+    for batch in batches:
+        yield batch
+        trim()

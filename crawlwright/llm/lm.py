@@ -111,13 +111,16 @@ class Net:
         """Log probability (natural) of each target after its state; with back also the gradients of their negative sum."""
         cls = np.where(targets < VOCABULARY, targets // MEMBERS, targets - VOCABULARY + CLASSES)
         got, s, total = shares(states, self.c, self.cb, cls)
-        order = np.argsort(cls, kind="stable")
-        border = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order, border = by_number(cls, CLASSES + FORMS)
         if back:
-            s /= total[:, None]
-            s[np.arange(len(targets)), cls] -= 1
+            # the softmax less one at the target; its division goes to the smaller factors
+            part = np.reciprocal(total)
             ds = s @ self.c.T
-            dc, dcb = states.T @ s, np.ones(len(s), np.float32) @ s
+            ds *= part[:, None]
+            ds -= self.c.T[cls]
+            dc, dcb = (states * part[:, None]).T @ s, part @ s
+            dc -= sums_by(states, order, border).T
+            dcb -= np.diff(border)
             dm, dmb = np.zeros_like(self.m), np.zeros_like(self.mb)
         for k in range(CLASSES):
             mine = order[border[k] : border[k + 1]]
@@ -163,11 +166,11 @@ class Net:
             if starts[t]:
                 d *= ~first[t][:, None]
         flat = da.reshape(-1, 3 * h)
-        order = np.argsort(ids.ravel(), kind="stable")
-        used, begin = np.unique(ids.ravel()[order], return_index=True)
+        order, border = by_number(ids.ravel(), VOCABULARY + FORMS)
+        used = np.flatnonzero(np.diff(border))
         du, db = before.reshape(-1, h).T @ flat, np.ones(len(flat), np.float32) @ flat
         da[..., 2 * h :] = dn
-        gx = np.add.reduceat(flat[order], begin, axis=0)
+        gx = np.add.reduceat(flat[order], border[used], axis=0)
         scale = np.float32(1 / max(1, len(at)))
         sums[0][used] += (gx := gx * scale) ** 2
         self.x[used] -= rate * gx / (np.sqrt(sums[0][used]) + 1e-6)
@@ -178,6 +181,20 @@ class Net:
         return out[-1]
 
 
+def by_number(x: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(an order by x, where each number's part of it begins and the last ends), for whole numbers under count, at most 65,536."""
+    return np.argsort(x.astype(np.uint16), kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(x, minlength=count))])
+
+
+def sums_by(rows: np.ndarray, order: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Sums of rows for each number, in the order of by_number()."""
+    out = np.zeros((len(border) - 1, rows.shape[1]), np.float32)
+    some = np.flatnonzero(np.diff(border))
+    if len(some):
+        out[some] = np.add.reduceat(rows[order], border[some], axis=0)
+    return out
+
+
 def shares(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log of the softmax's share at `at`, exponentials, their sums) by row. States lie between -1 and 1, so one
     bound on all logits keeps the exponentials finite; rows that vanish under it are done by their own largest logit."""

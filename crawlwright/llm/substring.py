@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlwright.llm import words as w
-from crawlwright.llm.common import SLICE_BYTES, forget, save
+from crawlwright.llm.common import SLICE_BYTES, bounded, forget, save
+from crawlwright.llm.held import each
 
 #: Words of a k-mer. Two equal windows of more than K words share their least k-mer.
 K = 8
@@ -39,7 +40,7 @@ def _read(docs: DataFrame, size: int) -> DataFrame:
     """A row per document: (doc_id, row_hash, n_words, kept_sha256 as if nothing goes, mers: its distinct least k-mers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for first, texts in w.slices(batch.column(2), SLICE_BYTES):
                 bounds, known, codes = w.split(texts)
                 least, ok = _least(w.Rolling(w.hashed(known, 0)[codes]), bounds, size)
@@ -71,7 +72,7 @@ def _paths(texts: DataFrame, size: int) -> DataFrame:
     least k-mer, doc_id, row_hash, pos, edges). edges holds the windows' hashes in pairs, for one of the equal paths of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for first, part in w.slices(batch.column(2), SLICE_BYTES):
                 mers = np.unique(batch.column(3).slice(first, len(part)).flatten().to_numpy()).view(np.uint64)
                 bounds, known, codes = w.split(part)
@@ -111,7 +112,7 @@ def _edges(paths: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in each(batches):
             for first, part in w.slices(batch.column(4), SLICE_BYTES):
                 edges = np.frombuffer(b"".join(part.to_pylist()), np.int64).reshape(-1, 2)
                 n = batch.column(2).slice(first, len(part)).to_numpy()
@@ -129,7 +130,7 @@ def _cut(texts: DataFrame, size: int) -> DataFrame:
     n_removed, kept_sha256, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             for at, part in w.slices(batch.column(2), SLICE_BYTES):
                 gone, digest, kept = [], [], []
                 for text, spans in zip(part.to_pylist(), batch.column(3).slice(at, len(part)), strict=True):
@@ -162,6 +163,7 @@ def dedup(spark: SparkSession, docs: DataFrame, size: int = 50) -> tuple[DataFra
     Counts are partly summed before each shuffle and joins on k-mers and paths hold no more than a few dozen
     bytes a row, so a passage that most documents share is neither gathered in one task nor paired.
     """
+    bounded(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     read = save(spark, _read(docs, size), "substring-read")
     owned = read.filter(F.col("doc_id").isNotNull())

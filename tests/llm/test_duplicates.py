@@ -132,3 +132,43 @@ def test_sliding_least(width):
     x = np.random.default_rng(1).integers(0, 1000, 60)
     assert w.sliding_least(x, width).tolist() == [min(x[i : i + width]) for i in range(60 - width + 1)]
     assert w.sliding_least(x[: width - 1], width).size == 0
+
+
+def family(m, rng, pool=24, blocks=9, sizes=1):
+    """m texts that share 130 shingles, more than their prefixes; the rest are blocks of 40 words, which as many long texts of rare words hold, too, and
+    which are so the more frequent part. The m texts are few groups of many members."""
+    rare = [f"r{k}" for k in range(134)]
+    rows = []
+    for i in range(m):
+        picked = sorted(rng.sample(range(pool), blocks)) if i % 10 or not i else picked
+        words = rare + [x for b in picked for x in ["z"] * 5 + [f"b{b}w{k}" for k in range(40)]]  # no shingle spans two blocks
+        rows.append((i + 1, " ".join(words[: len(words) - i % sizes]), "en"))
+        order = rng.sample(range(pool), pool)
+        rows.append((1000 + i, " ".join([*(x for b in order for x in ["z"] * 5 + [f"b{b}w{k}" for k in range(40)]), *(f"u{i}w{k}" for k in range(3000))]), "en"))
+    return rows
+
+
+def test_members_of_a_group_meet_by_their_second_prefix(spark, monkeypatch):
+    verified, pairs = jaccard._verified, []
+
+    def counted(frame, *rest):
+        pairs.append(frame.count())
+        return verified(frame, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    tried = []
+    for m in (80, 160):
+        rows = family(m, random.Random(1))
+        pairs.clear()
+        got = jaccard.linked(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 80, 100).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 5, 80, 100)
+        tried.append(sum(pairs))
+    assert tried[1] < 3 * tried[0], tried  # all pairs would be 4 times as many
+
+
+@pytest.mark.parametrize("small", [1, 2])
+def test_large_pairs_of_groups_go_around_their_first_members(spark, small, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    rows = family(60, random.Random(4), pool=11, sizes=3)
+    got = jaccard.linked(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 5, 80, 100)
