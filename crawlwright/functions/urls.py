@@ -41,8 +41,14 @@ def search(url: Column) -> Column:
     return part(url, 4)
 
 
+def authority(url: Column) -> Column:
+    """Lower-case host, with the port unless it is the scheme's own."""
+    own = F.when(scheme(url) == "http", F.lit(":(80)?$")).when(scheme(url) == "https", F.lit(":(443)?$")).otherwise(F.lit(":$"))
+    return F.regexp_replace(F.lower(part(url, 2)), own, F.lit(""))
+
+
 def origin(url: Column) -> Column:
-    return F.concat(scheme(url), F.lit("://"), F.lower(part(url, 2)))
+    return F.concat(scheme(url), F.lit("://"), authority(url))
 
 
 def strip_hash(url: Column) -> Column:
@@ -68,10 +74,94 @@ def https_key(url: Column) -> Column:
 
 
 def sorted_key(url: Column) -> Column:
-    """Without fragment, query parameters in order of their names, without a trailing slash."""
-    q = F.array_join(F.array_sort(F.split(F.substring(search(url), 2, 1 << 20), "&")), "&")
-    base = F.concat(scheme(url), F.lit("://"), F.lower(part(url, 2)), path(url))
-    return F.regexp_replace(F.when(F.length(search(url)) > 1, F.concat(base, F.lit("?"), q)).otherwise(base), "/$", "")
+    """Without fragment, query parameters by name (equal names in their own order) and written the way forms write them, without a
+    trailing slash."""
+    parts = F.filter(F.split(F.substring(search(url), 2, 1 << 20), "&"), lambda x: x != "")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    value = lambda x: F.when(x.contains("="), F.regexp_replace(x, "^[^=]*=", "")).otherwise("")
+    name = lambda x: plain(F.substring_index(x, "=", 1))
+    named = F.transform(parts, lambda x, i: F.struct(name(x).alias("n"), i.alias("i"), F.concat(F.url_encode(name(x)), F.lit("="), F.url_encode(plain(value(x)))).alias("x")))
+    q = F.array_join(F.transform(F.array_sort(named), lambda e: e["x"]), "&")
+    base = F.concat(origin(url), path(url))
+    whole = F.when(q != "", F.concat(base, F.lit("?"), q)).otherwise(F.regexp_replace(base, "/$", ""))
+    return F.when(url.rlike(_PARTS), whole).otherwise(F.coalesce(url, F.lit("")))
+
+
+def _web(url: Column) -> Column:
+    """url with https:// before it unless it has http or https."""
+    bare = F.trim(F.coalesce(url, F.lit("")))
+    return F.when(bare.rlike("(?i)^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
+
+
+def _tidy(url: Column) -> Column:
+    """Scheme and host in lower case, no default port, a path, no fragment."""
+    return F.concat(origin(url), path(url), search(url))
+
+
+_HOST = r"(?i)^https?://(\[[0-9a-f:.]+\]|[^/?#@\s:\[\]]+)(:\d*)?([/?#]|$)"
+
+
+def normalize_url(url: Column) -> Column:
+    """An audit's start address: https where no scheme is given, without fragment; null for other schemes, credentials and what isn't an address."""
+    bare = F.trim(F.coalesce(url, F.lit("")))
+    other = bare.rlike("(?i)^[a-z][a-z0-9+.-]*://") & ~bare.rlike("(?i)^https?://")
+    return F.when(~other & _web(bare).rlike(_HOST), _tidy(_web(bare)))
+
+
+def http_url(url: Column) -> Column:
+    """Like normalize_url, but a text that can't be read gives an empty one and credentials stay."""
+    web = _web(url)
+    fine = (F.trim(F.coalesce(url, F.lit(""))) != "") & F.regexp_replace(web, "^([A-Za-z]+://)[^/?#@]*@", "$1").rlike(_HOST)
+    return F.when(fine, _tidy(web)).otherwise(F.lit(""))
+
+
+def traffic_key(url: Column) -> Column:
+    """Site with any port but the scheme's own, and path without one trailing slash; the key that imported traffic is summed by."""
+    bare = F.trim(F.coalesce(url, F.lit("")))
+    where = F.regexp_replace(authority(bare), r"^www\.", "")
+    p = F.when(F.length(path(bare)) > 1, F.regexp_replace(path(bare), "/$", "")).otherwise(path(bare))
+    text = F.substring_index(bare, "#", 1)
+    for pattern in ("^[a-zA-Z][a-zA-Z0-9+.-]*://", "(?i)^www\\.", "/$"):
+        text = F.regexp_replace(text, pattern, "")
+    return F.when(bare.rlike(_PARTS) & (part(bare, 2) != ""), F.concat(where, p)).otherwise(F.lower(F.trim(text)))
+
+
+def account_key(url: Column) -> Column:
+    """Scheme, host with port, path without trailing slashes, query; empty for what isn't an address."""
+    return F.when(url.rlike(_PARTS), F.concat(origin(url), F.regexp_replace(path(url), "/+$", ""), search(url))).otherwise(F.lit(""))
+
+
+def proof_key(url: Column) -> Column:
+    """Without fragment and the path's trailing slashes; the key that finished pages are matched to a frontier by."""
+    bare = F.substring_index(F.coalesce(url, F.lit("")), "#", 1)
+    p = F.regexp_replace(path(bare), "/+$", "")
+    return F.when(bare.rlike(_PARTS), F.concat(origin(bare), F.when(p == "", F.lit("/")).otherwise(p), search(bare))).otherwise(F.regexp_replace(bare, "/+$", ""))
+
+
+def same_site(a: Column, b: Column) -> Column:
+    """Whether two origins are equal or of one host, www aside."""
+    return (a != "") & (b != "") & ((a == b) | ((site(a) != "") & (site(a) == site(b))))
+
+
+def label(url: Column, start: Column) -> Column:
+    """A page's name in findings: home if it is the start page, else its path."""
+    return F.when(strip_hash(url) == strip_hash(start), F.lit("home")).otherwise(path(url))
+
+
+def own_label(url: Column) -> Column:
+    """home if the path is /, else the path."""
+    return F.when(path(url) == "/", F.lit("home")).otherwise(path(url))
+
+
+def search_label(url: Column) -> Column:
+    return F.concat(path(url), search(url))
+
+
+def html_response(url: Column, content_type: Column) -> Column:
+    """Whether an answer is a page: by its type, where that says nothing by the address."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    vague = kind.contains("application/octet-stream") | kind.contains("binary/octet-stream") | kind.contains("text/plain")
+    return kind.contains("text/html") | kind.contains("application/xhtml+xml") | (((kind == "") | vague) & likely_html(url))
 
 
 def _names(url: Column) -> Column:
@@ -87,7 +177,7 @@ def faceted(url: Column) -> Column:
 
 
 def likely_html(url: Column) -> Column:
-    return ~F.lower(path(url)).rlike(r"\.(pdf|jpe?g|png|gif|webp|svg|ico|css|js|mjs|json|xml|txt|zip|gz|mp4|mp3|woff2?|ttf|eot)$")
+    return url.rlike(_PARTS) & ~F.lower(path(url)).rlike(r"\.(txt|xml|json|csv|pdf|png|jpe?g|gif|webp|svg|ico|css|js|map|zip)$")
 
 
 def absolute(href: Column, base: Column) -> Column:
@@ -111,8 +201,62 @@ def absolute(href: Column, base: Column) -> Column:
     return F.when(path(joined).rlike(r"/\.\.?(/|$)"), tidy).otherwise(joined)
 
 
+def _octet(x: Column) -> Column:
+    """A number of an IPv4 address: decimal, octal after a 0, hexadecimal after 0x; null for anything else."""
+    return (
+        F.when(x.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(x, 3, 64), 16, 10).try_cast("long"))
+        .when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10).try_cast("long"))
+        .when(x.rlike(r"^(0|[1-9]\d*)$"), x.try_cast("long"))
+    )
+
+
+def ipv4(h: Column) -> Column:
+    """A host as the number of an IPv4 address: four parts, or one, in decimal, octal or hexadecimal; null if it is none."""
+    parts = F.split(h, r"\.")
+    octets = F.transform(parts, _octet)
+    good = (F.size(parts) == 4) & ~F.exists(octets, lambda o: o.isNull() | (o > 255))
+    four = F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o)
+    return F.when(good, four).when(h.rlike(r"^(\d+|0x[0-9a-f]+)$") & (_octet(h) <= 0xFFFFFFFF), _octet(h))
+
+
+def mapped_ipv4(h: Column) -> Column:
+    """The IPv4 number inside an IPv6 address that maps one, as four numbers or two hexadecimal groups; null if there is none."""
+    dotted = F.regexp_extract(h, r"(?:^|:)ffff:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    high, low = (F.conv(F.regexp_extract(h, "(?:^|:)ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", i), 16, 10).try_cast("long") for i in (1, 2))
+    return F.when(dotted != "", ipv4(dotted)).when(h.rlike("(^|:)ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), high * 65536 + low)
+
+
+#: First and last address of the IPv4 ranges that aren't public.
+PRIVATE_IPV4 = [
+    ("0.0.0.0", "0.255.255.255"),
+    ("10.0.0.0", "10.255.255.255"),
+    ("100.64.0.0", "100.127.255.255"),
+    ("127.0.0.0", "127.255.255.255"),
+    ("169.254.0.0", "169.254.255.255"),
+    ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.0.255"),
+    ("192.168.0.0", "192.168.255.255"),
+    ("198.18.0.0", "198.19.255.255"),
+    ("224.0.0.0", "255.255.255.255"),
+]
+PRIVATE_NAMES = ["localhost", "metadata", "metadata.google.internal"]
+PRIVATE_ENDINGS = [".localhost", ".local", ".internal", ".invalid", ".home.arpa", ".cluster.local"]
+PRIVATE_IPV6 = r"^(::|::1)$|^(fe80:|fe9|fea|feb|fc|fd|ff|2001:db8:)"
+
+
 def private_host(h: Column) -> Column:
-    """Hosts that only an inner network resolves: names without a dot, inner suffixes, private IPv4 and IPv6 ranges."""
-    four = r"^(0|10|127)\.\d+\.\d+\.\d+$|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
-    six = r"^\[?(::1|::|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]?$"
-    return h.rlike(four) | h.rlike(six) | h.rlike(r"\.(local|internal|localhost|lan|home|corp)$") | ~h.contains(".")
+    """Hosts that aren't public: inner names and endings, private IPv4 in any notation, also mapped into IPv6, and private IPv6."""
+    h = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(h, F.lit("")))), r"^\[|\]$", ""), r"\.$", "")
+    number = F.coalesce(ipv4(h), F.when(h.contains(":"), mapped_ipv4(h)))
+    inner = F.lit(False)
+    for first, last in PRIVATE_IPV4:
+        a, b = (sum(int(x) << 8 * (3 - i) for i, x in enumerate(y.split("."))) for y in (first, last))
+        inner = inner | number.between(a, b)
+    named = h.isin("", *PRIVATE_NAMES) | F.exists(F.array(*map(F.lit, PRIVATE_ENDINGS)), lambda e: h.endswith(e))
+    return named | F.when(number.isNotNull(), inner).otherwise(h.contains(":") & F.regexp_replace(h, "^0+", "").rlike(PRIVATE_IPV6))
+
+
+def auditable(url: Column) -> Column:
+    """Whether an address may be audited: http or https, a host with a dot or colon, not a private one."""
+    h = F.regexp_replace(F.lower(part(url, 2)), r":\d+$", "")
+    return F.coalesce(scheme(url).isin("http", "https") & (h.contains(".") | h.contains(":")) & ~private_host(h), F.lit(False))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from crawlwright.functions import text as t
 from crawlwright.functions import urls as u
+from crawlwright.operators.imports import fractional, rate
+from crawlwright.operators.imports import number as metric  # noqa: F401  a number out of what someone typed
 
 #: Limits of the keyword checks.
 KEYWORD_CHECKS = {
@@ -18,24 +20,24 @@ KEYWORD_CHECKS = {
 }
 
 
-def metric(c: Column) -> Column:
-    """A number out of text with thousands marks or a percent sign; 0 where there is none."""
-    return F.coalesce(F.trim(F.regexp_replace(c.cast("string"), "[,%]", "")).try_cast("double"), F.lit(0.0))
-
-
-def ctr(rows: DataFrame, column: str = "ctr") -> DataFrame:
-    """rows with ctr as a share. Whether 1 means 1 % or all depends on the whole import: if any value lies between 0 and 1
-    the import is in shares. Without a value clicks by impressions count."""
-    text = F.trim(F.col(column).cast("string"))
-    parsed = F.coalesce(F.trim(F.regexp_replace(text, "[,%]", "")).try_cast("double"), F.lit(0.0))
-    shares = bool(rows.agg(F.bool_or(~text.contains("%") & (parsed > 0) & (parsed < 1))).first()[0])  # one value
-    given = F.when(text.contains("%") | (parsed > 1), parsed / 100).when(parsed == 1, F.lit(1.0 if shares else 0.01)).otherwise(parsed)
-    derived = F.when(F.col("impressions") > 0, F.col("clicks") / F.col("impressions")).otherwise(0.0)
-    return rows.withColumn(column, F.when(text.isNotNull() & (text != ""), given).otherwise(derived))
+def ctr(rows: DataFrame, column: str = "ctr", by: str | None = None) -> DataFrame:
+    """rows with ctr as a share. Whether 1 means 1 % or all depends on the import, the rows of one `by` (all, without it): if any value,
+    previous ones included, lies between 0 and 1 without a percent sign, the import is in shares. Without a value clicks by
+    impressions count. Nothing is computed before the result is read."""
+    key = F.lit(1) if by is None else F.col(by)
+    speaks = fractional(F.trim(F.col(column).cast("string")))
+    if f"previous_{column}" in rows.columns:
+        speaks = speaks | fractional(F.trim(F.col(f"previous_{column}").cast("string")))
+    flags = rows.groupBy(key.alias("_key")).agg(F.max(speaks).alias("_shares"))
+    out = rows.join(flags, key.eqNullSafe(F.col("_key")))
+    given = rate(F.trim(F.col(column).cast("string")), F.col("clicks"), F.col("impressions"), F.col("_shares"))
+    return out.withColumn(column, given).drop("_key", "_shares")
 
 
 def keyword_checks(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({k: F.expr(v) for k, v in KEYWORD_CHECKS.items()})
+    """rows with a flag for each check; those that need pages where with_pages() has been there."""
+    checks = KEYWORD_CHECKS | (PAGE_CHECKS if "matched" in rows.columns else {})
+    return rows.withColumns({k: F.expr(v) for k, v in checks.items()})
 
 
 def keyword_opportunities(rows: DataFrame, by: str, check: str, top: int = 12) -> DataFrame:
@@ -53,17 +55,40 @@ def keyword_summary(rows: DataFrame, by: str) -> DataFrame:
     return keyword_checks(rows).groupBy(by).agg(F.count("*").alias("imported"), F.count_distinct("query").alias("queries"), clicks.alias("clicks"), seen.alias("impressions"), F.when(seen > 0, clicks / seen).otherwise(0.0).alias("average_ctr"), place.alias("average_position"), *flags)
 
 
-def cannibalized(rows: DataFrame) -> DataFrame:
-    """(query, pages, impressions) of queries that several pages answer, most impressions first."""
+def cannibalized(rows: DataFrame, by: str, top: int = 8) -> DataFrame:
+    """(by, query, pages, impressions, nth) of each site's queries that several of its pages answer, most impressions first."""
     page = F.regexp_replace("page_url", "#.*$", "")
-    g = rows.filter("page_url <> ''").groupBy("query").agg(F.count_distinct(page).alias("pages"), F.sum("impressions").alias("impressions"))
-    return g.filter("pages > 1").orderBy(F.desc("impressions"), "query").limit(8)
+    g = rows.filter("page_url <> ''").groupBy(by, "query").agg(F.count_distinct(page).alias("pages"), F.sum("impressions").alias("impressions"))
+    return g.filter("pages > 1").withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(F.desc("impressions"), "query"))).filter(F.col("nth") <= top)
+
+
+def with_pages(rows: DataFrame, by: str, pages: DataFrame) -> DataFrame:
+    """rows (by, query, page_url) with matched, tokens, title_coverage and body_coverage by the page that they lead to.
+
+    pages: by, keys (the addresses a page goes by), title, h1, description, body_text. Of pages with one key the first by page_id counts.
+    """
+    keyed = pages.select(by, "page_id", "title", "h1", "description", "body_text", F.explode(F.array_distinct(F.transform("keys", lambda k: F.regexp_replace(k, "#.*$", "")))).alias("_k"))
+    one = keyed.filter("_k <> ''").groupBy(by, "_k").agg(F.min_by(F.struct("title", "h1", "description", "body_text"), "page_id").alias("_p"))
+    out = rows.withColumn("_k", F.regexp_replace("page_url", "#.*$", "")).join(one, [by, "_k"], "left")
+    tokens = t.query_tokens(F.col("query"))
+    head = F.concat_ws(" ", F.substring("_p.title", 1, 180), F.substring("_p.h1", 1, 180), F.substring("_p.description", 1, 220))
+    out = out.withColumns({"matched": F.col("_p").isNotNull(), "tokens": tokens})
+    covered = lambda s: F.when(F.col("matched"), t.coverage(F.col("tokens"), t.search_text(s))).otherwise(0.0)
+    return out.withColumns({"title_coverage": covered(head), "body_coverage": covered(F.substring("_p.body_text", 1, 1500))}).drop("_k", "_p")
+
+
+#: Limits of the keyword checks that need the pages.
+PAGE_CHECKS = {
+    "landing_mismatch": "matched and impressions >= 50 and size(tokens) >= 2 and title_coverage < 0.5",
+    "missing_landing": "page_url <> '' and not matched",
+    "query_only": "page_url = ''",
+}
 
 
 def landing_mismatch(rows: DataFrame) -> DataFrame:
     """Rows whose page title holds under half of the query's telling words."""
-    tokens = F.slice(t.tokens(F.col("query"), t.KEYWORD_STOP_WORDS), 1, 8)
-    share = t.coverage(tokens, t.normal(F.col("title")))
+    tokens = t.query_tokens(F.col("query"))
+    share = t.coverage(tokens, t.search_text(F.col("title")))
     return rows.filter(F.col("title").isNotNull() & (F.col("impressions") >= 50)).filter((F.size(tokens) >= 2) & (share < 0.5))
 
 

@@ -1,4 +1,4 @@
-"""Pairs of similar sets by a prefix join in DataFrames."""
+"""Similar sets by a prefix join in DataFrames."""
 
 from __future__ import annotations
 
@@ -6,23 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from crawlwright.shared import save
 
-def similar_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, shared, either), x < y: pairs of (id, items) whose Jaccard index is num/den or more.
+
+def representatives(sets: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(distinct sets with the least id that has each as `rep`, membership (id, rep)): copies are compared once.
+
+    Sets are told apart by two 64-bit hashes of their sorted items."""
+    place = [by] if by else []
+    items = F.sort_array("items")
+    keyed = sets.withColumns({"_a": F.xxhash64(items), "_b": F.hash(F.reverse(items), F.size("items"))})
+    reps = keyed.groupBy(*place, "_a", "_b").agg(F.min("id").alias("rep"), F.first("items").alias("items"))
+    member = keyed.select(*place, "id", "_a", "_b").join(reps.select(*place, "_a", "_b", "rep"), [*place, "_a", "_b"]).select(*place, "id", "rep")
+    return reps.select(*place, F.col("rep").alias("id"), "items"), member
+
+
+def similar_representatives(sets: DataFrame, num: int, den: int, by: str | None = None) -> DataFrame:
+    """(by, x, y, shared, either), x < y, of distinct sets (id, items, by) whose Jaccard index is num/den or more, within one `by`.
 
     Items are put in one order, rare ones first; two similar sets share one of their first n - ceil(n * num / den) + 1
-    items, so only these are joined, with a filter by size. The pairs found are compared by their whole sets.
-    A frequent item is in few prefixes, which keeps the join from growing with the square of its rows.
+    items, so only these are joined, with a filter by size and by place: what is left of both from the first common item on must
+    suffice. The pairs found are compared by their whole sets.
     """
-    one = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    place = [by] if by else []
+    one = sets.select(*place, "id", F.size("items").alias("n"), F.explode("items").alias("item"))
     often = one.groupBy("item").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
+    at = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
     length = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)) + 1
-    prefix = one.join(often.filter("df > 0"), "item").withColumn("p", place).filter(F.col("p") <= length).filter("df > 1")
-    a, b = prefix.select("item", F.col("id").alias("x"), F.col("n").alias("xn")), prefix.select("item", F.col("id").alias("y"), F.col("n").alias("yn"))
-    close = F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num
-    pairs = a.join(b, "item").filter(F.col("x") < F.col("y")).filter(close).select("x", "y").distinct()
+    prefix = one.join(often, "item").withColumn("p", at).filter(F.col("p") <= length).filter("df > 1")
+    side = lambda a: [F.col("id").alias(a), F.col("n").alias(f"{a}n"), F.col("p").alias(f"{a}p")]
+    a, b = prefix.select(*place, "item", *side("x")), prefix.select(*place, "item", *side("y"))
+    need = F.ceil((F.col("xn") + F.col("yn")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
+    close = (F.least("xn", "yn") * den >= F.greatest("xn", "yn") * num) & (F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) + 1 >= need)
+    pairs = a.join(b, [*place, "item"]).filter(F.col("x") < F.col("y")).filter(close).select(*place, "x", "y").distinct()
     full = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("xi")), "x").join(sets.select(F.col("id").alias("y"), F.col("items").alias("yi")), "y")
     shared = F.size(F.array_intersect("xi", "yi"))
-    out = full.select("x", "y", shared.alias("shared"), (F.size("xi") + F.size("yi") - shared).alias("either"))
+    out = full.select(*place, "x", "y", shared.alias("shared"), (F.size("xi") + F.size("yi") - shared).alias("either"))
     return out.filter(F.col("shared") * den >= F.col("either") * num)
+
+
+def similar_sets(sets: DataFrame, num: int, den: int, by: str | None = None) -> DataFrame:
+    """(by, x, y, shared, either), x < y: all pairs of (id, items, by) whose Jaccard index is num/den or more, copies expanded.
+
+    Equal sets are collapsed first and only their representatives compared; the answer's pairs are then expanded by membership, so
+    its size is that of the answer itself. Where copies are many, take representatives() and similar_representatives(). An
+    empty set is similar to nothing; ids are unique; nulls in items don't count."""
+    place = [by] if by else []
+    sets = sets.select(*place, "id", F.array_distinct(F.array_compact("items")).alias("items")).filter(F.size("items") > 0)
+    reps, member = representatives(sets, by)
+    reps, member = save(reps, "sets"), save(member, "members")
+    size = reps.select(F.col("id").alias("rep"), F.size("items").alias("s"))
+    pairs = similar_representatives(reps, num, den, by)
+    left, right = (member.select(F.col("rep").alias(f"r{c}"), F.col("id").alias(c)) for c in ("x", "y"))
+    apart = pairs.select(*place, F.col("x").alias("rx"), F.col("y").alias("ry"), "shared", "either").join(left, "rx").join(right, "ry")
+    apart = apart.select(*place, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "shared", "either")
+    same = member.withColumnRenamed("id", "x").join(member.select("rep", F.col("id").alias("y")), "rep").filter("x < y").join(size, "rep")
+    return apart.unionByName(same.select(*place, "x", "y", F.col("s").alias("shared"), F.col("s").alias("either")))

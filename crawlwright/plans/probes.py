@@ -1,4 +1,4 @@
-"""Findings from resource checks, headers and discovery files, which arrive as tables."""
+"""Findings from resource checks, loads, headers and discovery files, which arrive as tables."""
 
 from __future__ import annotations
 
@@ -132,7 +132,7 @@ GUARDS = [
     (27, "Canonical exists after render", "s.canonical = '' and r.canonical <> ''"),
     (28, "Viewport exists after render", "s.viewport = '' and r.viewport <> ''"),
     (29, "Social images exist after render", "(s.og_image = '' or s.twitter_image = '') and r.og_image <> '' and r.twitter_image <> ''"),
-    (30, "Structured data exists after render", "s.json_ld = 0 and r.json_ld > 0"),
+    (30, "Structured data exists after render", "size(s.schema_types) = 0 and size(r.schema_types) > 0"),
 ]
 
 
@@ -147,3 +147,128 @@ def guards(static: DataFrame, rendered: DataFrame) -> DataFrame:
     both = static.alias("s").join(rendered.alias("r"), F.col("s.page_id") == F.col("r.page_id"))
     fired = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.lit(seq).alias("rule_seq"), F.lit("good").alias("severity"), F.lit(title).alias("rule"))) for seq, title, when in GUARDS]))
     return both.select("s.page_id", F.explode(fired).alias("f")).select("page_id", "f.*")
+
+
+#: How many links and images of a page are checked, and from which number of pages on only the first ones are.
+LINKS_CHECKED, IMAGES_CHECKED, ALL_PAGES, FIRST_PAGES = 50, 25, 50, 10
+#: Rules on how a page loads: order, title, severity, confidence, and what decides. They are limits on a row of loads.
+LOAD_RULES = [
+    (18, "URL redirects before rendering", "notice", "needs-review", "moved"),
+    (19, "Long redirect chain before rendering", "warning", "verified", "chain_length > 1"),
+    (20, "Slow rendered load", "warning", "needs-review", f"settled and load_ms > {SLOW_LOAD}"),
+    (21, "Large HTML response", "notice", "needs-review", f"transfer_size > {LARGE_HTML}"),
+]
+#: Audits of a speed report that may name a saving, in the order in which equal ones are listed.
+OPPORTUNITIES = [
+    "render-blocking-resources",
+    "unused-javascript",
+    "unused-css-rules",
+    "unminified-javascript",
+    "unminified-css",
+    "modern-image-formats",
+    "uses-optimized-images",
+    "uses-responsive-images",
+    "offscreen-images",
+    "total-byte-weight",
+    "server-response-time",
+    "largest-contentful-paint-element",
+]
+
+
+def load_findings(loads: DataFrame) -> DataFrame:
+    """(page_id, rule_seq, severity, confidence, rule) from (page_id, url, final_url, redirected, chain_length, settled, load_ms,
+    transfer_size). A null in settled counts as settled, other nulls as nothing measured."""
+    final = F.coalesce(F.nullif("final_url", F.lit("")), F.col("url"))
+    moved = F.coalesce("redirected", F.lit(False)) | (u.strip_hash(final) != u.strip_hash(F.col("url")))
+    rows = loads.withColumn("moved", moved).withColumn("settled", F.coalesce("settled", F.lit(True)))
+    one = lambda seq, title, severity, sure, when: F.when(F.expr(when), F.struct(F.lit(seq).alias("rule_seq"), F.lit(severity).alias("severity"), F.lit(sure).alias("confidence"), F.lit(title).alias("rule")))
+    return rows.select("page_id", F.explode(F.array_compact(F.array(*[one(*r) for r in LOAD_RULES]))).alias("f")).select("page_id", "f.*")
+
+
+def opportunities(raw: DataFrame, top: int = 5) -> DataFrame:
+    """(url, nth, id, title, savings_ms, savings_bytes, score) of a speed report (url, json): the audits that name a saving or
+    score under 90, the largest saving first."""
+    v = F.try_parse_json("json")
+    number = lambda path: F.coalesce(F.try_variant_get(v, path, "double"), F.lit(0.0))
+    rows = []
+    for i, name in enumerate(OPPORTUNITIES):
+        at = f"$.lighthouseResult.audits['{name}']"
+        ms, size, score = number(f"{at}.details.overallSavingsMs"), number(f"{at}.details.overallSavingsBytes"), F.try_variant_get(v, f"{at}.score", "double")
+        there = F.try_variant_get(v, at, "variant").isNotNull() & ((ms > 0) | (size > 0) | F.coalesce(score < 0.9, F.lit(False)))
+        title = F.coalesce(F.nullif(F.try_variant_get(v, f"{at}.title", "string"), F.lit("")), F.lit(name))
+        rows.append(F.when(there, F.struct((-ms).alias("a"), (-size).alias("b"), F.lit(i).alias("i"), F.lit(name).alias("id"), title.alias("title"), F.floor(score * 100 + 0.5).alias("score"))))
+    best = F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, top)
+    return raw.select("url", F.posexplode(best).alias("p", "o")).select("url", (F.col("p") + 1).alias("nth"), "o.id", "o.title", (-F.col("o.a")).alias("savings_ms"), (-F.col("o.b")).alias("savings_bytes"), "o.score")
+
+
+def opportunity_findings(found: DataFrame) -> DataFrame:
+    """(url, rule_seq, sub, severity, rule): a finding for each opportunity, in their order."""
+    large = (F.col("savings_ms") > 1000) | (F.col("savings_bytes") > 250_000)
+    return found.select("url", F.lit(5).alias("rule_seq"), F.col("nth").alias("sub"), F.when(large, "warning").otherwise("notice").alias("severity"), F.col("title").alias("rule"))
+
+
+def probe_plan(facts: DataFrame, most_pages: int) -> DataFrame:
+    """(page_id, url, kind) of what is checked: each page's first distinct links and images and its canonical address; of a
+    crawl that may be larger than ALL_PAGES the first pages only."""
+    rows = facts if most_pages <= ALL_PAGES else facts.filter(F.col("page_seq") <= FIRST_PAGES)
+    web = lambda c: F.array_distinct(F.filter(c, lambda x: x.rlike("(?i)^https?:")))
+    links = F.transform(F.slice(web("links"), 1, LINKS_CHECKED), lambda x: F.struct(x.alias("url"), F.when(u.origin(x) == F.col("origin"), "internal").otherwise("external").alias("kind")))
+    images = F.transform(F.slice(web("image_urls"), 1, IMAGES_CHECKED), lambda x: F.struct(x.alias("url"), F.lit("image").alias("kind")))
+    target = F.col("canonical_url")
+    own = F.when(u.same_site(u.origin(target), F.col("origin")), "internal").otherwise("canonical")
+    canonical = F.when(target != "", F.array(F.struct(target.alias("url"), own.alias("kind")))).otherwise(F.array().cast("array<struct<url:string,kind:string>>"))
+    return rows.select("page_id", F.explode(F.concat(links, images, canonical)).alias("r")).select("page_id", "r.url", "r.kind")
+
+
+def declared_images(facts: DataFrame) -> DataFrame:
+    """(page_id, key, url): the share images and icons that pages declare, each address once over all pages, at the first
+    page that names it; and one guess at the usual place for each origin whose first page declares no icon.
+
+    Of a site's pages only those that name an address or lack an icon are compared, by the address and by the origin."""
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("key"), F.col(c).alias("url")) for i, (k, c) in enumerate((("og", "og_image"), ("twitter", "twitter_image"), ("apple-touch-icon", "touch_icon")))])
+    named = facts.select("page_id", F.explode(keys).alias("k")).select("page_id", "k.i", "k.key", "k.url").filter("url <> ''")
+    lacking = facts.filter("touch_icon = ''").groupBy("origin").agg(F.min("page_id").alias("page_id"))
+    guess = lacking.select("page_id", F.lit(3).alias("i"), F.lit("apple-touch-icon-probe").alias("key"), F.concat("origin", F.lit("/apple-touch-icon.png")).alias("url"))
+    first = F.struct("page_id", "i", "key")
+    return named.unionByName(guess).groupBy("url").agg(F.min(first).alias("f")).select("f.page_id", "f.key", "url")
+
+
+def loads_as_image(ok: Column, content_type: Column, url: Column) -> Column:
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.coalesce(ok, F.lit(False)) & (kind.contains("image/") | ((kind == "") & u.path(url).rlike(r"\.(png|jpe?g|gif|webp|avif|svg)$")))
+
+
+def image_findings(facts: DataFrame, checks: DataFrame) -> DataFrame:
+    """(page_id, rule_seq, severity, rule): declared share images (57) and icons (59) that don't load.
+
+    checks: page_id, key, url, ok, status, content_type of declared_images() once fetched. A share image counts at the page
+    that it was checked for, an icon at every page that declares its address.
+    """
+    bad = checks.filter(~loads_as_image(F.col("ok"), F.col("content_type"), F.col("url")))
+    social = bad.filter(F.col("key").isin("og", "twitter")).select("page_id").distinct()
+    social = facts.filter("og_image <> '' and twitter_image <> ''").join(social, "page_id", "left_semi").select("page_id", F.lit(57).alias("rule_seq"), F.lit("warning").alias("severity"), F.lit("Social share image is not loadable").alias("rule"))
+    icons = bad.filter("key = 'apple-touch-icon'").select(F.col("url").alias("touch_icon")).distinct()
+    return social.unionByName(facts.join(icons, "touch_icon", "left_semi").select("page_id", F.lit(59).alias("rule_seq"), F.lit("notice").alias("severity"), F.lit("Apple touch icon is not loadable").alias("rule")))
+
+
+def hreflang_findings(facts: DataFrame) -> DataFrame:
+    """(page_id, rule_seq, sub, severity, rule): language tags of a page (rules 32 to 35), as expressions over its own list.
+
+    Per tag an invalid code and a code that came before; a second finding with the same title and evidence is left out. Then a
+    missing reference to the page itself, and a missing default among several."""
+    tags = F.transform("hreflangs", lambda x, i: F.struct(i.alias("i"), F.lower(x["code"]).alias("code"), x["href"].alias("href"), x["code"].alias("raw")))
+    invalid = F.transform(F.filter("_tags", lambda x: ~x["code"].rlike("^(x-default|[a-z]{2,3}(-[a-z0-9]{2,8})*)$")), lambda x: F.struct(x["i"].alias("i"), F.lit(32).alias("rule_seq"), F.concat_ws(" ", x["raw"], x["href"]).alias("proof")))
+    before = lambda x: F.element_at(F.filter("_tags", lambda y: (y["i"] < x["i"]) & (y["code"] == x["code"])), -1)
+    twice = F.transform(F.filter("_tags", lambda x: F.exists("_tags", lambda y: (y["i"] < x["i"]) & (y["code"] == x["code"]))), lambda x: F.struct(x["i"].alias("i"), F.lit(33).alias("rule_seq"), F.concat_ws(" ", x["code"], before(x)["href"], x["href"]).alias("proof")))
+    rows = facts.filter(F.size("hreflangs") > 0).withColumn("_tags", tags)
+    n = F.size("_tags")
+    own = F.exists("_tags", lambda x: u.sorted_key(x["href"]) == u.sorted_key(F.col("url")))
+    alone = F.when(~own, F.struct(n.alias("i"), F.lit(34).alias("rule_seq"), F.lit("").alias("proof")))
+    lacking = F.when((n > 1) & ~F.exists("_tags", lambda x: x["code"] == "x-default"), F.struct((n + 1).alias("i"), F.lit(35).alias("rule_seq"), F.lit("").alias("proof")))
+    every = F.array_sort(F.concat(invalid, twice, F.array_compact(F.array(alone, lacking))))
+    once = F.filter(every, lambda x: ~F.exists(every, lambda y: (y["rule_seq"] == x["rule_seq"]) & (y["proof"] == x["proof"]) & (y["i"] < x["i"])))
+    out = rows.select("page_id", F.posexplode(once).alias("sub", "f"))
+    kind = F.col("f.rule_seq")
+    severity = F.when(kind.isin(32, 33), "warning").otherwise("notice")
+    rule = F.when(kind == 32, "Invalid hreflang code").when(kind == 33, "Duplicate hreflang tag").when(kind == 34, "Hreflang is missing a self-reference").otherwise("Hreflang cluster has no x-default")
+    return out.select("page_id", kind.alias("rule_seq"), "sub", severity.alias("severity"), rule.alias("rule"))

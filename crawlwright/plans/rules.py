@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from crawlwright.functions.text import pattern_key
+from crawlwright.functions.urls import sorted_key
+from crawlwright.operators.order import running
 from crawlwright.plans.facts import heading_jump
+from crawlwright.shared import save
 
 
 @dataclass(frozen=True)
@@ -27,8 +29,8 @@ class Rule:
 #: Order, titles, severities and limits of the rules that a page's own HTML decides. In a pair
 #: of rules the second holds only where the first doesn't.
 RULES = [
-    Rule(31, "Structured data JSON is invalid", "warning", "verified", "json_ld_invalid > 0"),
-    Rule(38, "Canonical and og:url disagree", "notice", "needs-review", "canonical <> '' and og_url <> '' and canonical <> og_url"),
+    Rule(31, "Structured data JSON is invalid", "warning", "verified", "schema_errors > 0"),
+    Rule(38, "Canonical and og:url disagree", "notice", "needs-review", "canonical <> '' and og_url <> '' and not same_canonical"),
     Rule(39, "Canonical conflicts with noindex", "critical", "verified", "canonical <> '' and lower(robots) like '%noindex%'"),
     Rule(40, "Missing or weak title", "critical", "verified", "length(title) < 12"),
     Rule(41, "Long title", "warning", "verified", "length(title) > 65"),
@@ -48,7 +50,7 @@ RULES = [
     Rule(56, "Social share image incomplete", "warning", "verified", "og_image = '' or twitter_image = ''"),
     Rule(58, "Apple touch icon missing", "notice", "verified", "touch_icon = ''"),
     Rule(60, "Images missing alt attributes", "warning", "needs-review", "images_without_alt > 0"),
-    Rule(61, "Structured data opportunity", "notice", "verified", "json_ld - json_ld_invalid = 0", "enhancement"),
+    Rule(61, "Structured data opportunity", "notice", "verified", "forall(schema_types, t -> t = 'invalid-json')", "enhancement"),
     Rule(62, "Page is not served over HTTPS", "warning", "verified", "url like 'http:%' and host <> 'localhost'"),
 ]
 
@@ -57,13 +59,20 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "critical", 0).when(severity == "warning", 1).when(severity == "notice", 2).otherwise(3)
 
 
+def fired(rules: list[Rule]) -> Column:
+    """The rules that fire on a row, as one array."""
+    one = lambda r: F.struct(F.lit(r.seq).alias("rule_seq"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.title).alias("rule"))
+    return F.array_compact(F.array(*[F.when(F.expr(r.when), one(r)) for r in rules]))
+
+
 def findings(facts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """A row per page and rule that fires, numbered within the site by page and rule."""
-    rows = facts.withColumn("heading_jump", heading_jump(F.col("levels")))
-    fired = F.array_compact(
-        F.array(*[F.when(F.expr(r.when), F.struct(F.lit(r.seq).alias("rule_seq"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.title).alias("rule"))) for r in rules])
-    )
-    out = rows.select("host", "page_id", "page_seq", "label", F.explode(fired).alias("f")).select("host", "page_id", "page_seq", "label", "f.*")
+    """A row per page and rule that fires, numbered within the site by page and rule.
+
+    What fires on each page is written once; pages are then numbered by lots, so a site of any size is dealt to many tasks.
+    """
+    rows = facts.withColumn("heading_jump", heading_jump(F.col("levels"))).withColumn("same_canonical", sorted_key(F.col("canonical_url")) == sorted_key(F.col("og_url")))
+    rows = save(rows.select("host", "page_id", "page_seq", "label", fired(rules).alias("f")), "findings")
+    rows = running(rows, ["host"], "page_seq", _first=F.size("f"))
+    out = rows.select("host", "page_id", "page_seq", "label", "_first", F.posexplode("f").alias("_nth", "f")).select("host", "page_id", "page_seq", "label", "f.*", (F.col("_first") + F.col("_nth") + 1).alias("finding_seq"))
     title = F.concat(F.col("rule"), F.lit(" on "), F.col("label"))
-    out = out.withColumn("title", title).withColumn("pattern_key", pattern_key(title))
-    return out.withColumn("finding_seq", F.row_number().over(W.partitionBy("host").orderBy("page_seq", "rule_seq")))
+    return out.withColumn("title", title).withColumn("pattern_key", pattern_key(title))

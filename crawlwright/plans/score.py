@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from crawlwright.operators.order import place
 from crawlwright.plans.rules import severity_rank
 
 #: What the first finding of a group costs, each further one, and the most.
@@ -39,9 +40,14 @@ def scores(findings: DataFrame, units: DataFrame, *by: str) -> DataFrame:
 
 
 def plan(findings: DataFrame) -> DataFrame:
-    """The repair plan of each site: findings by severity, in their own order within one, numbered."""
-    order = W.partitionBy("host").orderBy(severity_rank(F.col("severity")), "finding_seq")
-    return findings.filter("severity <> 'good'").withColumn("priority", F.row_number().over(order))
+    """The repair plan of each site: findings by severity, in their own order within one, numbered. Each severity is numbered
+    by lots and starts after the graver ones."""
+    rows = findings.filter("severity <> 'good'").withColumn("_rank", severity_rank(F.col("severity")))
+    sizes = rows.groupBy("host", "_rank").agg(F.count("*").alias("_n"))
+    graver = sizes.select(F.col("host").alias("_host"), F.col("_rank").alias("_r"), (F.sum("_n").over(W.partitionBy("host").orderBy("_rank")) - F.col("_n")).alias("_graver"))
+    own = place(rows, ["host", "_rank"], "finding_seq", "_own")
+    out = own.join(graver, F.col("host").eqNullSafe(F.col("_host")) & (F.col("_rank") == F.col("_r")))
+    return out.withColumn("priority", F.col("_own") + F.col("_graver")).drop("_own", "_graver", "_host", "_r", "_rank")
 
 
 def with_gains(plan: DataFrame, findings: DataFrame) -> DataFrame:

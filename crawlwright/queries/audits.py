@@ -29,7 +29,7 @@ def _keywords(spark, sf_dir):
     k = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("long").alias("impressions"), F.count_if(F.col("l_linenumber") > 4).alias("clicks"), F.sum("l_linenumber").alias("previous_clicks"))
     part = F.col("l_partkey")
     k = k.select(F.col("l_suppkey").alias("site"), F.concat(F.lit("q"), (part % 40).cast("string")).alias("query"), F.concat(F.lit("/p"), (part % 7).cast("string")).alias("page_url"), "impressions", "clicks", (1 + (part * 7) % 30).cast("double").alias("position"), "previous_clicks", (1 + (part * 3) % 30).cast("double").alias("previous_position"))
-    return audits.ctr(k.withColumn("ctr", F.lit(None).cast("string")))
+    return audits.ctr(k.withColumn("ctr", F.lit(None).cast("string")), by="site")
 
 
 @query("WITH " + _KEYWORDS_SQL + " SELECT site, count(*) AS imported, count(DISTINCT query) AS queries, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions, floor(sum(clicks) * 10000.0 / sum(impressions) + 0.5)::DOUBLE / 10000 AS average_ctr, floor(CAST(sum(position * greatest(impressions, 1)) / sum(greatest(impressions, 1)) AS DOUBLE) * 100 + 0.5) / 100 AS average_position, count(*) FILTER (low_ctr) AS low_ctr, count(*) FILTER (page_two) AS page_two, count(*) FILTER (zero_click) AS zero_click, count(*) FILTER (declining) AS declining FROM f GROUP BY site")
@@ -43,9 +43,9 @@ def keyword_opportunities(spark, sf_dir):
     return audits.keyword_opportunities(_keywords(spark, sf_dir), "site", "declining").select("site", "query", "impressions", F.col("nth").cast("long"))
 
 
-@query("WITH " + _KEYWORDS_SQL + " SELECT query, count(DISTINCT page_url) AS pages, CAST(sum(impressions) AS BIGINT) AS impressions FROM f GROUP BY query HAVING count(DISTINCT page_url) > 1 ORDER BY impressions DESC, query LIMIT 8")
+@query("WITH " + _KEYWORDS_SQL + " SELECT site, query, pages, impressions FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY impressions DESC, query) AS nth FROM (SELECT site, query, count(DISTINCT page_url) AS pages, CAST(sum(impressions) AS BIGINT) AS impressions FROM f GROUP BY site, query HAVING count(DISTINCT page_url) > 1)) WHERE nth <= 8")
 def keyword_cannibalization(spark, sf_dir):
-    return audits.cannibalized(_keywords(spark, sf_dir))
+    return audits.cannibalized(_keywords(spark, sf_dir), "site").select("site", "query", "pages", "impressions")
 
 
 _RESOURCES_SQL = """r AS (
@@ -115,12 +115,6 @@ def sitemap_entries(spark, sf_dir):
     return sitemaps.entries(files).select("loc")
 
 
-@query("""SELECT page_url, issue, code FROM (VALUES ('https://x.com/', 'invalid', 'e'), ('https://x.com/', 'duplicate', 'en'), ('https://x.com/a', 'no self-reference', ''), ('https://x.com/', 'no x-default', ''), ('https://x.com/a', 'no x-default', '')) v(page_url, issue, code)""")
-def hreflang_check(spark, sf_dir):
-    rows = [("https://x.com/", 0, "en", "https://x.com/"), ("https://x.com/", 1, "EN", "https://x.com/b"), ("https://x.com/", 2, "e", "https://x.com/c"), ("https://x.com/a", 0, "de", "https://x.com/d"), ("https://x.com/a", 1, "fr", "https://x.com/f")]
-    return audits.hreflang_issues(spark.createDataFrame(rows, "page_url string, pos int, code string, href string"))
-
-
 _DT = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower({0}), '&[a-z0-9#]+;', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{x}'" for x in t.KEYWORD_STOP_WORDS) + "))[1:8]"
 
 
@@ -140,7 +134,7 @@ _CHECKS_SQL = """ch AS (
 fl AS (SELECT *, status IS NOT NULL AND status < 400 AS ok, NOT coalesce(status IN (408, 425, 429, 503), false) AND NOT coalesce(kind = 'internal' AND status BETWEEN 520 AND 526, false) AND (status IS NULL OR status >= 400) AS bad FROM ch),
 pp AS (SELECT page_url, count(*) FILTER (kind = 'internal' AND bad) AS broken_internal, count(*) FILTER (kind = 'external' AND bad) AS broken_external,
   count(*) FILTER (kind = 'internal' AND NOT bad AND coalesce(status, 0) <> 429 AND redirected) AS redirecting_internal, count(*) FILTER (kind = 'image' AND bad) AS broken_images,
-  count(*) FILTER (kind = 'image' AND ok AND content_length > 500000) AS large_images, count(*) FILTER (kind IN ('internal', 'external', 'image') AND starts_with(url, 'http:')) AS insecure FROM fl GROUP BY page_url)"""
+  count(*) FILTER (kind = 'image' AND ok AND content_length > 500000) AS large_images, count(*) FILTER (kind IN ('internal', 'external', 'image') AND starts_with(url, 'http:')) AS insecure, count(*) FILTER (kind = 'canonical' AND bad) AS canonical_broken, count(*) FILTER (kind = 'canonical' AND NOT bad AND redirected) AS canonical_moved FROM fl GROUP BY page_url)"""
 
 
 def _checks(spark, sf_dir):
@@ -161,24 +155,12 @@ def _checks(spark, sf_dir):
 
 @query("WITH " + _CHECKS_SQL + " SELECT * FROM pp")
 def resource_probes(spark, sf_dir):
-    return probes.page_probes(_checks(spark, sf_dir)).drop("canonical_broken", "canonical_moved")
+    return probes.page_probes(_checks(spark, sf_dir))
 
 
-@query("WITH " + _CHECKS_SQL + " " + " UNION ALL ".join(f"SELECT page_url, {seq} AS rule_seq, '{sev}' AS severity, '{title}' AS rule FROM pp WHERE {cond}" for seq, title, sev, _, cond in probes.PROBE_RULES if seq < 30))
+@query("WITH " + _CHECKS_SQL + " " + " UNION ALL ".join(f"SELECT page_url, {seq} AS rule_seq, '{sev}' AS severity, '{title}' AS rule FROM pp WHERE {cond}" for seq, title, sev, _, cond in probes.PROBE_RULES))
 def probe_findings(spark, sf_dir):
-    return probes.probe_findings(_checks(spark, sf_dir)).filter("rule_seq < 30").select("page_url", "rule_seq", "severity", "rule")
-
-
-_ASKS = readiness.QUESTION.replace("'", "''")
-
-
-@query(
-    p.FACTS_SQL + f""", n AS (SELECT host, count(*) AS pages, count(*) FILTER (word_count < 250) AS thin, count(*) FILTER (inner_links = 0) AS isolated,
-  count(*) FILTER (regexp_matches(lower(title), '{_ASKS}') OR len([h FOR h IN headings IF regexp_matches(lower(h), '{_ASKS}')]) > 0) AS asking, count(*) FILTER (len(headings) >= 3) AS sectioned FROM facts GROUP BY host)
-SELECT host, pages, thin, isolated, asking, sectioned, CAST(greatest(0, 100 - CASE WHEN thin > 0 THEN 28 ELSE 0 END - 16 - 18 - CASE WHEN asking = 0 AND sectioned = 0 THEN 10 ELSE 0 END) AS INTEGER) AS score FROM n"""
-)
-def answer_readiness(spark, sf_dir):
-    return readiness.readiness(p._facts(spark, sf_dir)).select("host", "pages", "thin", "isolated", "asking", "sectioned", "score")
+    return probes.probe_findings(_checks(spark, sf_dir)).select("page_url", "rule_seq", "severity", "rule")
 
 
 @query("""WITH s AS (SELECT s_nationkey, s_suppkey, CAST(floor(s_acctbal / 100) AS BIGINT) AS score, s_suppkey = min(s_suppkey) OVER (PARTITION BY s_nationkey) AS mine FROM supplier),
@@ -194,9 +176,9 @@ def competitor_benchmark(spark, sf_dir):
 _UTM = "regexp_replace(lower(trim(o_orderpriority)), '\\s+', '-', 'g')"
 
 
-@query("SELECT o_orderkey, 'https://x.com/p?id=' || CAST(o_custkey AS VARCHAR) || '&utm_source=' || lower(o_orderstatus) || '&utm_campaign=' || " + _UTM + " || '#top' AS link FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, 'https://x.com/p?id=' || CAST(o_custkey AS VARCHAR) || '&utm_source=' || lower(o_orderstatus) || '&utm_campaign=' || " + _UTM + " || '#top' AS link FROM orders")
 def utm_links(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     url = F.concat(F.lit("https://x.com/p?utm_source=old&id="), F.col("o_custkey").cast("string"), F.lit("#top"))
     return o.select("o_orderkey", platforms.utm(url, source=F.col("o_orderstatus"), medium=F.lit(""), campaign=F.col("o_orderpriority")).alias("link"))
 

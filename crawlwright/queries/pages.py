@@ -165,7 +165,7 @@ def url_parts(spark, sf_dir):
   host || CASE WHEN regexp_replace(path, '/$', '') = '' THEN '/' ELSE regexp_replace(path, '/$', '') END AS page_key,
   scheme || '://' || host || CASE WHEN path = '/' THEN '/' ELSE regexp_replace(path, '/+$', '') END || search AS graph_key,
   'https://' || host || CASE WHEN path = '/' THEN '/' ELSE regexp_replace(path, '/+$', '') END || search AS https_key,
-  regexp_replace(scheme || '://' || authority || path || CASE WHEN length(search) > 1 THEN '?' || array_to_string(list_sort(string_split(substr(search, 2), '&')), '&') ELSE '' END, '/$', '') AS sorted_key
+  regexp_replace(scheme || '://' || authority || path || CASE WHEN length(search) > 1 THEN '?' || array_to_string([x.x FOR x IN list_sort([{'n': string_split(y, '=')[1], 'x': y} FOR y IN string_split(substr(search, 2), '&')])], '&') ELSE '' END, '/$', '') AS sorted_key
 FROM u"""
 )
 def url_keys(spark, sf_dir):
@@ -275,43 +275,59 @@ def heading_hierarchy(spark, sf_dir):
     return rows.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), F.col("level").cast("long"), jump.cast("long").alias("jump"))
 
 
+def _top(groups: DataFrame) -> DataFrame:
+    return groups.withColumn("nth", F.row_number().over(W.partitionBy("host").orderBy(F.desc("n"), "first_page"))).filter("nth <= 10").drop("nth")
+
+
 def _duplicates(rows: DataFrame) -> DataFrame:
-    key = t.normal(F.col("raw"))
-    groups = rows.withColumn("dup_key", key).filter(F.length("dup_key") >= 12).groupBy("dup_key").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
-    return groups.filter("n > 1").orderBy(F.desc("n"), "first_page").limit(10)
+    """Each site's texts that several of its pages have, ten at most, as reports list them."""
+    groups = rows.withColumn("dup_key", t.normal(F.col("raw"))).filter(F.length("dup_key") >= 12).groupBy("host", "dup_key").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+    return _top(groups.filter("n > 1"))
 
 
-_DUP = " SELECT dup_key, count(*) AS n, min(page_id) AS first_page FROM d WHERE length(dup_key) >= 12 GROUP BY dup_key HAVING count(*) > 1 ORDER BY n DESC, first_page LIMIT 10"
+_TEN = "SELECT host, {0}, n, first_page FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, first_page) AS nth FROM ({1})) WHERE nth <= 10"
+_DUP = " " + _TEN.format("dup_key", "SELECT host, dup_key, count(*) AS n, min(page_id) AS first_page FROM d WHERE length(dup_key) >= 12 GROUP BY host, dup_key HAVING count(*) > 1")
 _NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '&[a-z0-9#]+;', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+#: Pages of one site that repeat: every page again under a second address, its title alone or its heading alone, by its number.
+_TWICE_SQL = "tw AS (SELECT host, page_id, title, coalesce(headings[list_position(levels, 1)], ' ') AS h1, body_text FROM facts UNION ALL SELECT host, page_id + 1000000, CASE WHEN page_id % 3 = 0 THEN title ELSE 'Another page of ' || host || CAST(page_id AS VARCHAR) END, CASE WHEN page_id % 4 = 0 THEN upper(coalesce(headings[list_position(levels, 1)], ' ')) ELSE '' END, CASE WHEN page_id % 5 = 0 THEN body_text || ' one more sentence' ELSE '' END FROM facts)"
+
 
+def _twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f1 = F.coalesce(F.get("headings", F.array_position("levels", F.lit(1)).cast("int") - 1), F.lit(""))
+    one = _facts(spark, sf_dir).select("host", "page_id", "title", f1.alias("h1"), "body_text")
+    n = F.col("page_id")
+    again = one.select("host", (n + 1000000).alias("page_id"), F.when(n % 3 == 0, F.col("title")).otherwise(F.concat(F.lit("Another page of "), "host", n.cast("string"))).alias("title"), F.when(n % 4 == 0, F.upper("h1")).otherwise("").alias("h1"), F.when(n % 5 == 0, F.concat("body_text", F.lit(" one more sentence"))).otherwise("").alias("body_text"))
+    return one.unionByName(again)
 
-@query(FACTS_SQL + f", d AS (SELECT page_id, {_NORMAL.format('title')} AS dup_key FROM facts)" + _DUP)
+
+@query(FACTS_SQL + ", " + _TWICE_SQL + f", d AS (SELECT host, page_id, {_NORMAL.format('title')} AS dup_key FROM tw)" + _DUP)
 def duplicate_titles(spark, sf_dir):
-    return _duplicates(_facts(spark, sf_dir).select("page_id", F.col("title").alias("raw")))
+    return _duplicates(_twice(spark, sf_dir).withColumn("raw", F.col("title")))
 
 
-@query(FACTS_SQL + f", d AS (SELECT page_id, {_NORMAL.format('coalesce(headings[list_position(levels, 1)], chr(32))')} AS dup_key FROM facts)" + _DUP)
+@query(FACTS_SQL + ", " + _TWICE_SQL + f", d AS (SELECT host, page_id, {_NORMAL.format('h1')} AS dup_key FROM tw)" + _DUP)
 def duplicate_h1s(spark, sf_dir):
-    first = F.get("headings", F.array_position("levels", F.lit(1)).cast("int") - 1)
-    return _duplicates(_facts(spark, sf_dir).select("page_id", F.coalesce(first, F.lit("")).alias("raw")))
+    return _duplicates(_twice(spark, sf_dir).withColumn("raw", F.col("h1")))
 
 
-@query(FACTS_SQL + f", k AS (SELECT page_id, {_tokens('title')}[1:4] AS tk FROM facts), g AS (SELECT page_id, array_to_string(tk[1:3], ' ') AS keyword FROM k WHERE len(tk) >= 2) SELECT keyword, count(*) AS n, min(page_id) AS first_page FROM g GROUP BY keyword HAVING count(*) > 1 ORDER BY n DESC, first_page LIMIT 10")
+@query(FACTS_SQL + ", " + _TWICE_SQL + f", k AS (SELECT host, page_id, {_tokens('title')}[1:4] AS tk FROM tw), g AS (SELECT host, page_id, array_to_string(tk[1:3], ' ') AS keyword FROM k WHERE len(tk) >= 2) " + _TEN.format("keyword", "SELECT host, keyword, count(*) AS n, min(page_id) AS first_page FROM g GROUP BY host, keyword HAVING count(*) > 1"))
 def cannibalization(spark, sf_dir):
-    rows = _facts(spark, sf_dir).select("page_id", t.primary_keyword(F.col("title")).alias("keyword")).filter("keyword <> ''")
-    return rows.groupBy("keyword").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).filter("n > 1").orderBy(F.desc("n"), "first_page").limit(10)
+    rows = _twice(spark, sf_dir).select("host", "page_id", t.primary_keyword(F.col("title")).alias("keyword")).filter("keyword <> ''")
+    return _top(rows.groupBy("host", "keyword").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page")).filter("n > 1"))
 
 
 @query(
-    FACTS_SQL + f""", k AS (SELECT page_id, list_distinct({_tokens('body_text')}[1:600]) AS tk, len({_tokens('body_text')}[1:600]) AS n FROM facts),
-e AS (SELECT page_id, len(tk) AS size, unnest(tk) AS token FROM k WHERE n >= 40),
-o AS (SELECT a.page_id AS left_page, b.page_id AS right_page, a.size AS sa, b.size AS sb, count(*) AS shared FROM e a JOIN e b ON a.token = b.token AND a.page_id < b.page_id GROUP BY ALL)
-SELECT left_page, right_page, CAST(floor(100.0 * shared / (sa + sb - shared) + 0.5) AS BIGINT) AS similarity_percent FROM o WHERE 100 * shared >= 82 * (sa + sb - shared)"""
+    FACTS_SQL + ", " + _TWICE_SQL + f""", k AS (SELECT host, page_id, list_distinct({_tokens('body_text')}[1:600]) AS tk, len({_tokens('body_text')}[1:600]) AS n FROM tw),
+e AS (SELECT host, page_id, len(tk) AS size, unnest(tk) AS token FROM k WHERE n >= 40),
+o AS (SELECT a.host, a.page_id AS left_page, b.page_id AS right_page, a.size AS sa, b.size AS sb, count(*) AS shared FROM e a JOIN e b ON a.host = b.host AND a.token = b.token AND a.page_id < b.page_id GROUP BY ALL)
+SELECT host, left_page, right_page, CAST(floor(100.0 * shared / (sa + sb - shared) + 0.5) AS BIGINT) AS similarity_percent FROM o WHERE 100 * shared >= 82 * (sa + sb - shared)"""
 )
 def near_duplicate_pages(spark, sf_dir):
-    facts = _facts(spark, sf_dir).select("page_id", t.tokens(F.col("body_text")).alias("tk")).withColumn("tk", F.slice("tk", 1, 600)).filter(F.size("tk") >= 40)
-    pairs = similar_sets(facts.select(F.col("page_id").alias("id"), F.array_distinct("tk").alias("items")), 82, 100)
-    return pairs.select(F.col("x").alias("left_page"), F.col("y").alias("right_page"), F.floor(100.0 * F.col("shared") / F.col("either") + 0.5).alias("similarity_percent"))
+    """Pages of one site whose first 600 tokens are alike; that cut is how the reports define a page's fingerprint."""
+    facts = _twice(spark, sf_dir).select("host", "page_id", t.tokens(F.col("body_text")).alias("tk")).withColumn("tk", F.slice("tk", 1, 600)).filter(F.size("tk") >= 40)
+    sets = facts.select(F.col("page_id").alias("id"), "host", F.array_distinct("tk").alias("items"))
+    pairs = similar_sets(sets, 82, 100, by="host")
+    return pairs.select("host", F.col("x").alias("left_page"), F.col("y").alias("right_page"), F.floor(100.0 * F.col("shared") / F.col("either") + 0.5).alias("similarity_percent"))
 
 
 @query(
@@ -323,11 +339,6 @@ def risky_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(t.risk_signals(u.host(c), u.path(c))).cast("long").alias("signals"))
 
 
-@query("WITH " + URLS_SQL + r" SELECT page_id, regexp_matches(full_host, '^(0|10|127)\.\d+\.\d+\.\d+$|^169\.254\.|^192\.168\.|\.(local|internal|localhost|lan|home|corp)$') OR NOT contains(full_host, '.') AS private FROM u")
-def private_host_check(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", u.private_host(u.host(F.col("url"))).alias("private"))
-
-
 @query("WITH " + URLS_SQL + " SELECT host, count(*) AS pages, encode_hash AS fingerprint FROM (SELECT host, count(*) AS c, sha256(string_agg(page_key, chr(10) ORDER BY page_key)) AS encode_hash FROM (SELECT host, host || CASE WHEN regexp_replace(path, '/$', '') = '' THEN '/' ELSE regexp_replace(path, '/$', '') END AS page_key FROM u) GROUP BY host) JOIN u USING (host) GROUP BY ALL")
 def crawl_fingerprint(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(u.site(F.col("url")).alias("host"), u.page_key(F.col("url")).alias("k"))

@@ -120,4 +120,5 @@ def test_upserts_and_transitions(spark):
     assert {tuple(r) for r in tables.upsert(stored, incoming, ["k"], ["v"]).collect()} == {("a", 2, "z"), ("b", 1, "y"), ("c", 2, "q")}
     assert {tuple(r) for r in tables.insert_or_ignore(stored, incoming, ["k"], ["v"]).select("k", "v", "s").collect()} == {("c", 1, "w")}
     v = spark.createDataFrame([("i", 1, "draft"), ("i", 2, "approved"), ("i", 3, "done"), ("i", 4, "verified")], "k string, n long, st string")
-    assert [r.st for r in folds.invalid_transitions(v, "k", "n", "st").collect()] == ["done"]
+    may_follow = {"draft": ["approved"], "approved": ["executing"], "executing": ["done"], "done": ["verified"]}
+    assert [r.st for r in folds.invalid_transitions(v, "k", "n", "st", may_follow).collect()] == ["done"]
