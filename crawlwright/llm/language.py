@@ -15,8 +15,8 @@ from crawlwright.llm import words as w
 from crawlwright.llm.common import SLICE_BYTES, bounded
 from crawlwright.llm.held import trim
 
-#: The bounds of the training sample: rows of a language, languages (the most frequent), pieces of a text and words of a piece.
-ROWS, LANGUAGES, PIECES, PIECE_WORDS = 1500, 128, 2, 60
+#: The bounds of the training sample: rows of a language, languages, pieces of a text and words of a piece.
+ROWS, LANGUAGES, PIECES, PIECE_WORDS = 1500, 1024, 2, 60
 #: Buckets that subwords are hashed to, and the embeddings' size.
 BUCKETS, SIZE = 1 << 15, 16
 UNKNOWN = "und"
@@ -143,13 +143,16 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 6,
 def fit(docs: DataFrame, learn: Column) -> Model | None:
     """A model from the rows of docs that `learn` picks and whose lang and text are given; None if there are none.
 
-    The sample has about ROWS rows of a language at most, picked by a hash of the text, of LANGUAGES languages at
-    most. Of a text with over PIECE_WORDS words PIECES runs of that length are taken, at places that the hash gives.
+    The sample has about ROWS rows of a language at most, picked by a hash of the text. Of a text with over PIECE_WORDS
+    words PIECES runs of that length are taken, at places that the hash gives. No language is left out; more than
+    LANGUAGES labels are an error, since the classifier's size grows with them.
     """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
     if not counts:
         return None
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} values; a classifier for so many doesn't fit into memory")
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, ROWS / r["count"])))])
     sample = rows.filter(F.pmod(F.col("h"), F.lit(1_000_003)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)) * 1_000_003)
 
@@ -166,8 +169,12 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
                     out += [(lang, " ".join(parts[s : s + PIECE_WORDS // (1 + 4 * (i % 2))]), h) for i, s in enumerate(starts)]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "piece", "h"), x, strict=True)) for x in out], pa.schema([("lang", pa.string()), ("piece", pa.string()), ("h", pa.int64())]))
 
-    got = sample.mapInArrow(pieces, "lang string, piece string, h long").limit(2 * ROWS * PIECES * len(counts)).toPandas().sort_values(["h", "lang", "piece"])
-    return train(got["piece"].tolist(), got["lang"].tolist()) if len(got) else None
+    # no limit follows the Python stage: a task that ends early may free batches that are still being written
+    got = sample.mapInArrow(pieces, "lang string, piece string, h long").toPandas().sort_values(["h", "lang", "piece"])
+    model = train(got["piece"].tolist(), got["lang"].tolist()) if len(got) else None
+    del got
+    trim()
+    return model
 
 
 def identify(spark: SparkSession, docs: DataFrame, learn: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

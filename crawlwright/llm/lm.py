@@ -33,6 +33,8 @@ VOCABULARY = CLASSES * MEMBERS
 KNOWN = 200_000
 #: Steps of a window, texts side by side, words of the warm-up sample.
 WINDOW, LANES, WARM = 48, 256, 400_000
+#: Characters of a text from which on the warm-up leaves it out, so that what the driver gets is bounded in bytes; training proper reads all texts.
+WARM_LENGTH = 20_000
 #: Stands for the end of a text; no word is empty.
 END = ""
 
@@ -396,7 +398,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, key: str = "doc_i
     sums = [np.zeros_like(p) for p in net.parts()]
     if n:
         share = min(1.0, WARM / n)
-        warm = training.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("text", F.xxhash64("text").alias("h")).limit(WARM // 20).toArrow().sort_by("h")
+        warm = training.filter(F.length("text") < WARM_LENGTH).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("text", F.xxhash64("text").alias("h")).limit(WARM // 20).toArrow().sort_by("h")
         texts = warm.column(0).combine_chunks().cast(pa.string()) if len(warm) else pa.array([], pa.string())
         for rate in (0.2, 0.1):
             for _, part in w.slices(texts, 4 << 20):
