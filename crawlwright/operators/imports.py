@@ -41,15 +41,20 @@ def cells(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     digits alone. Tabs separate where the first line has one, else commas; quoted cells may hold either and doubled quotes.
     Empty lines are left out. A null text has no line."""
     schema = ", ".join(f"c{i} string" for i in range(WIDTH))
-    parse = lambda line, sep: F.from_csv(line, schema, {"sep": sep, "quote": '"', "escape": '"'})
-    as_list = lambda row: F.array(*[F.trim(F.coalesce(row[f"c{i}"], F.lit(""))) for i in range(WIDTH)])
     lines = texts.select(by, F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x) != "").alias("_l")).filter(F.size("_l") > 1)
-    rows = lines.select(by, F.get("_l", F.lit(0)).alias("_h"), F.posexplode(F.slice("_l", 2, 1 << 20)).alias("pos", "_line"))
-    tabbed = F.col("_h").contains("\t")
-    pick = lambda c: F.when(tabbed, as_list(parse(F.col(c), "\t"))).otherwise(as_list(parse(F.col(c), ",")))
-    names = F.transform(pick("_h"), lambda x, i: F.concat(F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), F.when(x == "", F.concat(F.lit("#"), i.cast("string"))).otherwise("")))
-    once = F.transform(names, lambda x, i: F.when(F.array_position(names, x) == i + 1, x).otherwise(F.concat(x, F.lit("#"), i.cast("string"))))
-    return rows.select(by, F.col("pos").cast("long").alias("pos"), F.map_from_arrays(once, pick("_line")).alias("cells"))
+
+    def split(rows: DataFrame, sep: str) -> DataFrame:
+        """Each line is parsed once, the first one once a text."""
+        parsed = lambda rows, line: rows.withColumn("_c", F.from_csv(line, schema, {"sep": sep, "quote": '"', "escape": '"'}))
+        row = F.array(*[F.trim(F.coalesce(F.col(f"_c.c{i}"), F.lit(""))) for i in range(WIDTH)])
+        names = F.transform(row, lambda x, i: F.concat(F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), F.when(x == "", F.concat(F.lit("#"), i.cast("string"))).otherwise("")))
+        headed = parsed(rows, F.get("_l", F.lit(0))).select(by, "_l", names.alias("_h"))
+        headed = headed.withColumn("_h", F.transform("_h", lambda x, i: F.when(F.array_position("_h", x) == i + 1, x).otherwise(F.concat(x, F.lit("#"), i.cast("string")))))
+        each = parsed(headed.select(by, "_h", F.posexplode(F.slice("_l", 2, 1 << 20)).alias("pos", "_line")), F.col("_line"))
+        return each.select(by, F.col("pos").cast("long").alias("pos"), F.map_from_arrays("_h", row).alias("cells"))
+
+    tabbed = F.get("_l", F.lit(0)).contains("\t")
+    return split(lines.filter(tabbed), "\t").unionByName(split(lines.filter(~tabbed), ","))
 
 
 def _named(columns: dict[str, list[str]]) -> dict[str, Column]:

@@ -6,21 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from crawlwright.operators.order import place
+
 
 def frontier(urls: DataFrame, job: str, key: Column, order: list[str], size: int) -> DataFrame:
     """The first URL of each key in its job, with its priority and the batch it goes to."""
     rows = urls.withColumn("_key", key)
     first = rows.withColumn("_n", F.row_number().over(W.partitionBy(job, "_key").orderBy(*order))).filter("_n = 1").drop("_n")
-    place = F.row_number().over(W.partitionBy(job).orderBy(*order))
-    return first.withColumn("priority", place).withColumn("batch", (F.floor((F.col("priority") - 1) / size) + 1).cast("long")).withColumnRenamed("_key", "url_key")
+    if len(order) == 1 and dict(first.dtypes)[order[0]] in ("int", "bigint"):  # a job may hold most of the rows
+        numbered = place(first, [job], order[0], "priority")
+    else:
+        numbered = first.withColumn("priority", F.row_number().over(W.partitionBy(job).orderBy(*order)))
+    return numbered.withColumn("batch", (F.floor((F.col("priority") - 1) / size) + 1).cast("long")).withColumnRenamed("_key", "url_key")
 
 
 def extended(stored: DataFrame, found: DataFrame, job: str, key: str, order: list[str], size: int) -> DataFrame:
     """What an ingestion adds to a stored frontier (job, url_key, priority): unknown keys alone, numbered on."""
     last = stored.groupBy(job).agg(F.max("priority").alias("_last"))
     new = found.join(stored.select(job, F.col("url_key").alias(key)), [job, key], "left_anti").dropDuplicates([job, key])
-    place = F.row_number().over(W.partitionBy(job).orderBy(*order)) + F.coalesce("_last", F.lit(0))
-    return new.join(last, job, "left").withColumn("priority", place).withColumn("batch", (F.floor((F.col("priority") - 1) / size) + 1).cast("long")).drop("_last")
+    if len(order) == 1 and dict(new.dtypes)[order[0]] in ("int", "bigint"):
+        new = place(new, [job], order[0], "priority")
+    else:
+        new = new.withColumn("priority", F.row_number().over(W.partitionBy(job).orderBy(*order)))
+    return new.join(last, job, "left").withColumn("priority", F.col("priority") + F.coalesce("_last", F.lit(0))).withColumn("batch", (F.floor((F.col("priority") - 1) / size) + 1).cast("long")).drop("_last")
 
 
 def batch_states(rows: DataFrame, *by: str) -> DataFrame:

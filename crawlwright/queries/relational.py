@@ -279,23 +279,3 @@ def link_depth(spark, sf_dir):
 def orphan_nodes(spark, sf_dir):
     nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
     return nodes.filter("node <> 0").join(_edges(spark, sf_dir).select(F.col("dst").alias("node")), "node", "left_anti")
-
-
-@query("""WITH RECURSIVE r(src, dst) AS (VALUES ('/a', '/b'), ('/b', '/c'), ('/c', '/d'), ('/x', '/y'), ('/y', '/x'), ('/p', '/q')),
-w(start, place, hops, seen) AS (SELECT src, dst, 1, [src, dst] FROM r UNION ALL SELECT w.start, r.dst, w.hops + 1, list_append(w.seen, r.dst) FROM w JOIN r ON r.src = w.place WHERE w.hops < 20 AND NOT list_contains(w.seen[:-2], w.place)),
-m AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops DESC) AS n FROM w)
-SELECT start, place AS final, CAST(hops AS BIGINT) AS hops, list_contains(seen[:-2], place) AS is_loop FROM m WHERE n = 1""")
-def redirect_chains(spark, sf_dir):
-    rules = spark.createDataFrame([("/a", "/b"), ("/b", "/c"), ("/c", "/d"), ("/x", "/y"), ("/y", "/x"), ("/p", "/q")], "src string, dst string")
-    return graph.redirects(rules, 20)
-
-
-@query("""SELECT agent, path, allowed FROM (VALUES ('search', '/', true), ('search', '/private/a', false), ('search', '/private/open/b', true), ('search', '/x.pdf', false),
-('answer', '/', false), ('answer', '/private/a', false), ('answer', '/private/open/b', false), ('answer', '/x.pdf', false), ('other', '/', true), ('other', '/private/a', true), ('other', '/private/open/b', true), ('other', '/x.pdf', true)) v(agent, path, allowed)""")
-def robots_matrix(spark, sf_dir):
-    from crawlwright.sources import robots
-
-    text = "User-agent: search\nDisallow: /private/\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: answer\nDisallow: /\n\nUser-agent: *\nDisallow:\n"
-    rules = robots.parse(spark.createDataFrame([("site", text)], "site string, text string"))
-    asked = spark.createDataFrame([("site", a, p) for a in ("search", "answer", "other") for p in ("/", "/private/a", "/private/open/b", "/x.pdf")], "site string, agent string, path string")
-    return robots.verdicts(rules, asked).select("agent", "path", "allowed")

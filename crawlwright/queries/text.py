@@ -10,7 +10,7 @@ from crawlwright.operators.similarity import similar_sets
 from crawlwright.registry import query, table
 
 _WORDS = "regexp_extract_all(replace(lower(text), '’', ''''), '(" + t.WORD.replace("'", "''") + ")', 1)"
-_STOP = ", ".join(f"'{x}'" for x in t.STOP_WORDS)
+_STOP = ", ".join("'" + x.replace("'", "''") + "'" for x in t.DENSITY_STOP_WORDS)
 
 
 @query(f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars, CAST(floor(len({_WORDS}) / 238.0 + 0.5) AS BIGINT) AS reading_minutes, CAST(floor(len({_WORDS}) / 150.0 + 0.5) AS BIGINT) AS speaking_minutes FROM documents")
@@ -19,32 +19,45 @@ def word_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), F.length("text").cast("long").alias("n_chars"), F.floor(n / 238.0 + 0.5).alias("reading_minutes"), F.floor(n / 150.0 + 0.5).alias("speaking_minutes"))
 
 
-def _density(size: int):
+def phrases(words, size: int):
+    """All runs of `size` words that neither begin nor end with a stop word and aren't numbers alone."""
+    at = F.sequence(F.lit(0), F.size(words) - size)
+    inner = lambda i: ~F.get(words, i).isin(t.DENSITY_STOP_WORDS) & ~F.get(words, i + size - 1).isin(t.DENSITY_STOP_WORDS)
+    run = F.transform(at, lambda i: F.when(inner(i), F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])))
+    return F.when(F.size(words) >= size, F.filter(run, lambda g: g.isNotNull() & ~g.rlike("^[0-9 ]+$")))
+
+
+def density(docs, by: str, words: str, size: int, top: int = 10):
+    """(by, phrase, n, density): the most frequent phrases of each group's texts and what share of its words they make, in percent. Of one
+    word all count, longer phrases from two on. The text tool counts each text by itself: by a document's key this is its answer;
+    by a column that texts share it is the same over all of them."""
+    total = docs.groupBy(by).agg(F.sum(F.size(words)).alias("total"))
+    c = docs.select(by, F.explode(phrases(F.col(words), size)).alias("phrase")).groupBy(by, "phrase").agg(F.count("*").alias("n")).filter(F.col("n") > (0 if size == 1 else 1))
+    best = c.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "phrase"))).filter(F.col("nth") <= top)
+    return best.join(total, by).select(by, "phrase", "n", (F.floor(F.col("n") * size * 1000.0 / F.col("total") + 0.5) / 10).alias("density"))
+
+
+def _density(size: int, by: str, name: str):
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
     ends = f"w[i] NOT IN ({_STOP}) AND w[i + {size - 1}] NOT IN ({_STOP})"
     least = 0 if size == 1 else 1
     sql = f"""WITH d AS (SELECT lang, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
-g AS (SELECT lang, unnest([{gram} FOR i IN range(1, len(w) - {size - 2}) IF {ends}]) AS phrase FROM d),
-c AS (SELECT lang, phrase, count(*) AS n FROM g WHERE NOT regexp_matches(phrase, '^[0-9 ]+$') GROUP BY ALL),
-t AS (SELECT lang, sum(len(w)) AS total FROM d GROUP BY lang),
-r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, phrase) AS nth FROM c WHERE n > {least})
-SELECT r.lang, phrase, n, floor(n * {size} * 1000.0 / total + 0.5)::DOUBLE / 10 AS density FROM r JOIN t ON t.lang = r.lang WHERE nth <= 10"""
+g AS (SELECT {by}, unnest([{gram} FOR i IN range(1, len(w) - {size - 2}) IF {ends}]) AS phrase FROM d),
+c AS (SELECT {by}, phrase, count(*) AS n FROM g WHERE NOT regexp_matches(phrase, '^[0-9 ]+$') GROUP BY ALL),
+t AS (SELECT {by}, sum(len(w)) AS total FROM d GROUP BY {by}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, phrase) AS nth FROM c WHERE n > {least})
+SELECT r.{by}, phrase, n, floor(n * {size} * 1000.0 / total + 0.5)::DOUBLE / 10 AS density FROM r JOIN t ON t.{by} = r.{by} WHERE nth <= 10"""
 
     def run(spark, sf_dir):
-        d = table(spark, sf_dir, "documents").filter("text is not null").select("lang", t.words(F.col("text")).alias("w"))
-        total = d.groupBy("lang").agg(F.sum(F.size("w")).alias("total"))
-        at = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-        grams = F.when(F.size("w") >= size, F.filter(F.transform(at, lambda i: F.slice("w", i + 1, size)), lambda g: ~g[0].isin(t.STOP_WORDS) & ~g[size - 1].isin(t.STOP_WORDS)))
-        g = d.select("lang", F.explode(grams).alias("g")).select("lang", F.array_join("g", " ").alias("phrase")).filter(~F.col("phrase").rlike("^[0-9 ]+$"))
-        c = g.groupBy("lang", "phrase").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-        top = c.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "phrase"))).filter("nth <= 10")
-        return top.join(total, "lang").select("lang", "phrase", "n", (F.floor(F.col("n") * size * 1000.0 / F.col("total") + 0.5) / 10).alias("density"))
-
-    run.__name__ = f"keyword_density_{size}"
+        d = table(spark, sf_dir, "documents").filter("text is not null").select("lang", "doc_id", t.words(F.col("text")).alias("w"))
+        return density(d, by, "w", size)
+
+    run.__name__ = name
     return query(sql)(run)
 
 
-keyword_density_1, keyword_density_2, keyword_density_3 = map(_density, (1, 2, 3))
+keyword_density_1, keyword_density_2, keyword_density_3 = (_density(n, "lang", f"keyword_density_{n}") for n in (1, 2, 3))
+document_phrases = _density(2, "doc_id", "document_phrases")
 
 
 @query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(grouping_id(lang, source) AS BIGINT) AS level FROM documents GROUP BY ROLLUP (lang, source)")

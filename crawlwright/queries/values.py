@@ -26,7 +26,7 @@ def _sql(v) -> str:
 
 
 def _listed(key: str, values: list) -> str:
-    return f"[{', '.join(map(_sql, values))}][{key} % {len(values)} + 1]"
+    return f"[{', '.join(map(_sql, values))}][({key}) % {len(values)} + 1]"
 
 
 _RAW = [" Example.com/a#x ", "http://WWW.Example.com:80/a/?q=1", "ftp://x.com/", "https://user:pw@x.com/", "", "https://x.com", "x.com:8443/p/", "https://x.com:443/p//?b#c", "not a url", "mailto:a@b", "HTTPS://X.com/A", "http://[::1]:8080/"]

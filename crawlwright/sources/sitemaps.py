@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlwright.functions import urls as u
+from crawlwright.shared import save
 
 
 def _tag(block, tag: str):
@@ -22,16 +23,18 @@ def entries(files: DataFrame) -> DataFrame:
     return rows.filter("loc <> ''").withColumn("loc", u.absolute(F.col("loc"), F.col("url")))
 
 
-def pages(files: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
-    """(loc, lastmod) of all pages that sitemaps reach from start (url), through nested sitemap files."""
-    rows = entries(files)
-    seen = front = start.select("url").distinct()
-    for _ in range(most):
-        front = rows.filter("kind = 'sitemap'").join(front, "url").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti")
+def pages(files: DataFrame, start: DataFrame) -> DataFrame:
+    """(loc, lastmod) of all pages that sitemaps reach from start (url), through nested sitemap files of any depth. Files are read
+    once; each level is written, so later ones don't repeat it."""
+    rows = save(entries(files), "sitemaps")
+    nested = rows.filter("kind = 'sitemap'").select("url", "loc")
+    seen = front = save(start.select("url").distinct(), "sitemaps")
+    while True:
+        front = save(nested.join(front, "url").select(F.col("loc").alias("url")).distinct().join(seen, "url", "left_anti"), "sitemaps")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return rows.filter("kind = 'url'").join(seen, "url", "left_semi").select("loc", "lastmod").dropDuplicates(["loc"])
+        seen = save(seen.unionByName(front), "sitemaps")
+    return rows.filter("kind = 'url'").join(seen, "url", "left_semi").groupBy("loc").agg(F.min("lastmod").alias("lastmod"))
 
 
 def listed_in_robots(files: DataFrame) -> DataFrame:

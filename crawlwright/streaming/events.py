@@ -66,15 +66,38 @@ def outage_alerts(events: DataFrame, least: int = 2, stale: str = "60 minutes",
 
 
 def keep_latest(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch sink: a parquet table at path with the newest row of each key. A batch that comes again changes nothing."""
+    """A foreachBatch sink: a parquet table under path with the newest row of each key.
+
+    A version of the table is a folder; a marker beside it, written last, names it as whole and says which batch of which
+    query made it. A batch starts from the newest whole version, whatever its own number, so a new checkpoint goes on from the table; a batch
+    that comes again changes nothing, since rows are equal. Older versions go once a newer one is whole. latest_version() finds it.
+    """
     from crawlwright.operators.tables import upsert
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        old = f"{path}/v{epoch - 1}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(old)
-        there = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
-        stored = spark.read.parquet(old) if there else batch.limit(0)
-        upsert(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        last = latest_version(spark, path)
+        stored = batch.limit(0) if last is None else spark.read.schema(batch.schema).parquet(f"{path}/v{last}")
+        new = 0 if last is None else last + 1
+        upsert(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v{new}")
+        fs, at = _files(spark, path)
+        fs.create(at(f"{path}/v{new}.whole"), True).close()
+        if last is not None:
+            for name in (f"{path}/v{last}.whole", f"{path}/v{last}"):
+                fs.delete(at(name), True)
 
     return sink
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the newest whole version of keep_latest()'s table; None if there is none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(path)):
+        return None
+    names = [str(f.getPath().getName()) for f in fs.listStatus(at(path))]
+    return max((int(n[1:-6]) for n in names if n.startswith("v") and n.endswith(".whole")), default=None)
