@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ FACET_PREFIX = "^(filter|attribute|pa_|utm_)"
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once: a Column used several times in an expression is otherwise evaluated as often."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -103,9 +110,8 @@ _HOST = r"(?i)^https?://(\[[0-9a-f:.]+\]|[^/?#@\s:\[\]]+)(:\d*)?([/?#]|$)"
 
 def normalize_url(url: Column) -> Column:
     """An audit's start address: https where no scheme is given, without fragment; null for other schemes, credentials and what isn't an address."""
-    bare = F.trim(F.coalesce(url, F.lit("")))
-    other = bare.rlike("(?i)^[a-z][a-z0-9+.-]*://") & ~bare.rlike("(?i)^https?://")
-    return F.when(~other & _web(bare).rlike(_HOST), _tidy(_web(bare)))
+    other = lambda x: x.rlike("(?i)^[a-z][a-z0-9+.-]*://") & ~x.rlike("(?i)^https?://")
+    return let(F.trim(F.coalesce(url, F.lit(""))), lambda x: F.when(~other(x), let(_web(x), lambda w: F.when(w.rlike(_HOST), _tidy(w)))))
 
 
 def http_url(url: Column) -> Column:
@@ -213,10 +219,10 @@ def _octet(x: Column) -> Column:
 def ipv4(h: Column) -> Column:
     """A host as the number of an IPv4 address: four parts, or one, in decimal, octal or hexadecimal; null if it is none."""
     parts = F.split(h, r"\.")
-    octets = F.transform(parts, _octet)
-    good = (F.size(parts) == 4) & ~F.exists(octets, lambda o: o.isNull() | (o > 255))
-    four = F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + o)
-    return F.when(good, four).when(h.rlike(r"^(\d+|0x[0-9a-f]+)$") & (_octet(h) <= 0xFFFFFFFF), _octet(h))
+    good = lambda o: (F.size(o) == 4) & ~F.exists(o, lambda x: x.isNull() | (x > 255))
+    four = lambda o: F.aggregate(o, F.lit(0).cast("long"), lambda n, x: n * 256 + x)
+    dotted = let(F.transform(parts, _octet), lambda o: F.when(good(o), four(o)))
+    return F.when(F.size(parts) == 4, dotted).when(h.rlike(r"^(\d+|0x[0-9a-f]+)$") & (_octet(h) <= 0xFFFFFFFF), _octet(h))
 
 
 def mapped_ipv4(h: Column) -> Column:
@@ -246,14 +252,24 @@ PRIVATE_IPV6 = r"^(::|::1)$|^(fe80:|fe9|fea|feb|fc|fd|ff|2001:db8:)"
 
 def private_host(h: Column) -> Column:
     """Hosts that aren't public: inner names and endings, private IPv4 in any notation, also mapped into IPv6, and private IPv6."""
-    h = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(h, F.lit("")))), r"^\[|\]$", ""), r"\.$", "")
-    number = F.coalesce(ipv4(h), F.when(h.contains(":"), mapped_ipv4(h)))
-    inner = F.lit(False)
-    for first, last in PRIVATE_IPV4:
-        a, b = (sum(int(x) << 8 * (3 - i) for i, x in enumerate(y.split("."))) for y in (first, last))
-        inner = inner | number.between(a, b)
-    named = h.isin("", *PRIVATE_NAMES) | F.exists(F.array(*map(F.lit, PRIVATE_ENDINGS)), lambda e: h.endswith(e))
-    return named | F.when(number.isNotNull(), inner).otherwise(h.contains(":") & F.regexp_replace(h, "^0+", "").rlike(PRIVATE_IPV6))
+
+    def inner(number: Column) -> Column:
+        found = F.lit(False)
+        for first, last in PRIVATE_IPV4:
+            a, b = (sum(int(x) << 8 * (3 - i) for i, x in enumerate(y.split("."))) for y in (first, last))
+            found = found | number.between(a, b)
+        return found
+
+    def private(x: Column) -> Column:
+        named = x.isin("", *PRIVATE_NAMES)
+        for ending in PRIVATE_ENDINGS:
+            named = named | x.endswith(ending)
+        six = x.contains(":") & F.regexp_replace(x, "^0+", "").rlike(PRIVATE_IPV6)
+        number = F.when(x.contains(":"), mapped_ipv4(x)).when(x.rlike("^[0-9]"), ipv4(x))
+        return named | let(number, lambda n: F.when(n.isNotNull(), inner(n)).otherwise(six))
+
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(h, F.lit("")))), r"^\[|\]$", ""), r"\.$", "")
+    return let(bare, private)
 
 
 def auditable(url: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from crawlwright.functions import text as t
 from crawlwright.functions import urls as u
+from crawlwright.shared import save
 
 #: How many rows of an import count (the first valid ones), and by which names a column may come.
 KEYWORD_ROWS, BACKLINK_ROWS, CITATION_ROWS, COMPETITORS = 250, 100, 30, 5
@@ -54,7 +55,8 @@ def cells(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
         return each.select(by, F.col("pos").cast("long").alias("pos"), F.map_from_arrays("_h", row).alias("cells"))
 
     tabbed = F.get("_l", F.lit(0)).contains("\t")
-    return split(lines.filter(tabbed), "\t").unionByName(split(lines.filter(~tabbed), ","))
+    # written, as filters on what is read from a cell would otherwise parse the line again for each cell
+    return save(split(lines.filter(tabbed), "\t").unionByName(split(lines.filter(~tabbed), ",")), "cells")
 
 
 def _named(columns: dict[str, list[str]]) -> dict[str, Column]:
