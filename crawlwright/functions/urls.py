@@ -197,14 +197,17 @@ def absolute(href: Column, base: Column) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .otherwise(F.concat(origin(base), folder, href))
     )
-    segments = F.split(path(joined), "/")
-    kept = F.aggregate(
-        F.slice(segments, 2, 1 << 20),
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
-    )
-    tidy = F.concat(origin(joined), F.lit("/"), F.array_join(kept, "/"), search(joined), part(joined, 5))
-    return F.when(path(joined).rlike(r"/\.\.?(/|$)"), tidy).otherwise(joined)
+
+    def tidied(whole: Column) -> Column:
+        kept = F.aggregate(
+            F.slice(F.split(path(whole), "/"), 2, 1 << 20),
+            F.array().cast("array<string>"),
+            lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+        )
+        tidy = F.concat(origin(whole), F.lit("/"), F.array_join(kept, "/"), search(whole), part(whole, 5))
+        return F.when(whole.rlike(r"/\.\.?(/|$|\?|#)") & path(whole).rlike(r"/\.\.?(/|$)"), tidy).otherwise(whole)
+
+    return let(joined, tidied)
 
 
 def _octet(x: Column) -> Column:
