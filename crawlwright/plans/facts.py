@@ -82,15 +82,13 @@ def schema(blocks: Column | str) -> Column:
 
 
 def _meta(head: Column, kind: str, key: str) -> Column:
-    """content of the first meta tag whose attribute is key."""
-    tags = F.regexp_extract_all(head, F.lit(META), 1)
-    mine = F.filter(tags, lambda x: F.regexp_extract(x, rf"""(?i)\b{kind}=["']([^"']*)["']""", 1) == key)
+    """content of the first of a head's meta tags whose attribute is key."""
+    mine = F.filter(head, lambda x: F.regexp_extract(x, rf"""(?i)\b{kind}=["']([^"']*)["']""", 1) == key)
     return F.when(F.size(mine) > 0, t.decode(F.regexp_extract(F.get(mine, F.lit(0)), r"""(?i)\bcontent=["']([^"']*)["']""", 1))).otherwise(F.lit(""))
 
 
 def _rel(head: Column, rel: str) -> Column:
-    tags = F.regexp_extract_all(head, F.lit(REL), 1)
-    mine = F.filter(tags, lambda x: F.array_contains(F.split(F.lower(F.regexp_extract(x, r"""(?i)\brel=["']([^"']*)["']""", 1)), r"\s+"), F.lit(rel)))
+    mine = F.filter(head, lambda x: F.array_contains(F.split(F.lower(F.regexp_extract(x, r"""(?i)\brel=["']([^"']*)["']""", 1)), r"\s+"), F.lit(rel)))
     return F.when(F.size(mine) > 0, F.regexp_extract(F.get(mine, F.lit(0)), r"""(?i)\bhref=["']([^"']*)["']""", 1)).otherwise(F.lit(""))
 
 
@@ -111,6 +109,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     url = F.col("url")
     one = pages.select("page_id", "url", html.alias("_html"), markup.alias("_markup"), head.alias("_head"))
     plain = F.regexp_replace("_markup", NOSCRIPT, "")
+    one = one.withColumns({"_metas": F.regexp_extract_all("_head", F.lit(META), 1), "_rels": F.regexp_extract_all("_head", F.lit(REL), 1)})
     one = one.withColumn("_body", F.coalesce(F.nullif(F.regexp_extract(plain, BODY, 1), F.lit("")), plain))
     main = F.regexp_extract("_body", MAIN, 1)
     content = F.regexp_replace(F.when(main == "", F.col("_body")).otherwise(main), FRAME, "")
@@ -127,13 +126,13 @@ def extracted(pages: DataFrame) -> DataFrame:
         u.origin(url).alias("origin"),
         u.path(url).alias("path"),
         F.trim(t.decode(t.strip_tags(F.regexp_extract("_head", TITLE, 1)))).alias("title"),
-        *[_meta(F.col("_head"), "name", k).alias(v) for k, v in (("description", "description"), ("robots", "robots"), ("viewport", "viewport"), ("generator", "generator"))],
-        here(_meta(F.col("_head"), "name", "twitter:image")).alias("twitter_image"),
-        *[here(_meta(F.col("_head"), "property", k)).alias(v) for k, v in (("og:image", "og_image"), ("og:url", "og_url"))],
-        _rel(F.col("_head"), "canonical").alias("canonical"),
-        here(_rel(F.col("_head"), "canonical")).alias("canonical_url"),
-        here(_rel(F.col("_head"), "apple-touch-icon")).alias("touch_icon"),
-        here(_rel(F.col("_head"), "icon")).alias("icon"),
+        *[_meta(F.col("_metas"), "name", k).alias(v) for k, v in (("description", "description"), ("robots", "robots"), ("viewport", "viewport"), ("generator", "generator"))],
+        here(_meta(F.col("_metas"), "name", "twitter:image")).alias("twitter_image"),
+        *[here(_meta(F.col("_metas"), "property", k)).alias(v) for k, v in (("og:image", "og_image"), ("og:url", "og_url"))],
+        _rel(F.col("_rels"), "canonical").alias("canonical"),
+        here(_rel(F.col("_rels"), "canonical")).alias("canonical_url"),
+        here(_rel(F.col("_rels"), "apple-touch-icon")).alias("touch_icon"),
+        here(_rel(F.col("_rels"), "icon")).alias("icon"),
         F.regexp_extract("_html", HTML_LANG, 1).alias("lang"),
         F.regexp_extract("_html", CHARSET, 1).alias("charset"),
         F.lower(F.ltrim("_html")).startswith("<!doctype html").alias("doctype"),
