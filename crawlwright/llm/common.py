@@ -66,14 +66,27 @@ def crc_mod(column: str, n: int) -> Column:
 def most_frequent(df: DataFrame, count: str, most: int) -> pa.Table:
     """The rows of df with the largest counts, `most` of them at most, on the driver.
 
-    A histogram of the counts' logarithms, with a few hundred classes, gives the least count to take; only rows
-    of that count and more are collected. An ordered limit would send that many rows from each task instead.
+    A histogram of the counts' logarithms, with a few hundred classes, gives the least class that fits as a whole; of the
+    next one, buckets of the rows' hashes fill up what is left, so equal counts are no reason to take none. An ordered limit
+    would send that many rows from each task instead.
     """
     size = F.floor(F.log(F.col(count).cast("double")) * 16)
-    classes = sorted(((r["k"], r["n"]) for r in df.filter(F.col(count) > 0).groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    held, least = 0, None
-    for k, n in classes:
-        if held + n > most:
-            break
-        held, least = held + n, k
-    return df.filter(F.lit(False) if least is None else (F.col(count) > 0) & (size >= least)).toArrow()
+    some = df.filter(F.col(count) > 0)
+    classes = sorted(((r["k"], r["n"]) for r in some.groupBy(size.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, whole = 0, 0
+    while whole < len(classes) and held + classes[whole][1] <= most:
+        held += classes[whole][1]
+        whole += 1
+    if whole == len(classes):
+        return some.toArrow()
+    last = classes[whole][0]
+    bucket = F.pmod(F.xxhash64(*df.columns), F.lit(_HASH_BUCKETS))
+    sizes = {r["b"]: r["n"] for r in some.filter(size == last).groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    upto = 0
+    while held + sizes.get(upto, 0) <= most and upto < _HASH_BUCKETS:
+        held += sizes.get(upto, 0)
+        upto += 1
+    return some.filter((size > last) | ((size == last) & (bucket < upto))).toArrow()
+
+
+_HASH_BUCKETS = 4096
