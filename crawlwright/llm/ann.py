@@ -24,6 +24,8 @@ from crawlwright.llm.topk import LIST, TILE, as_lists, best, matrix, merged, ran
 
 #: Rows of the sample that the index is fitted on, at most.
 SAMPLE = 6144
+#: Rows of a dimension from which on it has an index.
+LEAST = 1024
 #: Rows of a part, about, and parts at most: the sample must hold several rows of each.
 PART_ROWS, MOST_PARTS = 2048, 256
 
@@ -151,26 +153,35 @@ def nearest(spark: SparkSession, df: DataFrame, is_query: Column, k: int, recall
     holds a whole part. Of equal vectors in one batch only the k + 1 with the smallest keys are kept: the others can't be
     among any query's k nearest, since ties go to the smaller key. Queries that found fewer than k
     in their parts are searched exactly among all rows.
-    Rows whose key or vector is null, or whose vector is empty, zero or holds null or non-finite
-    components, take no part; nor do rows of another dimension than the most frequent one in the sample.
+    Vectors are compared with those of their own dimension: each dimension with LEAST rows or more has an index of its own, those
+    with fewer are searched exactly. Rows whose key or vector is null, or whose vector is empty, zero or holds null or non-finite
+    components, take no part.
     A key that several rows repeat is one query (its least vector) and a candidate per row. Candidates are all rows
     but those of the query's own key; with k or fewer all are returned. An empty table gives no row; other
     columns are left out.
     """
     rows = valid(df, key, vector, nonzero=True)
-    n = rows.count()
     queries = valid(df.filter(is_query), key, vector, nonzero=True).groupBy(key).agg(F.min(vector).alias(vector))
-    if n <= 2 * k + 2:  # nothing to route
-        return ranked(search(spark, queries, rows, k, False, key, vector), "double")
+    # a row for each dimension, whatever the number of rows
+    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).collect()}
+    large = sorted(d for d, n in sizes.items() if n >= max(LEAST, 4 * k))
+    few = ~F.size(vector).isin(large)
+    out = search(spark, queries.filter(few), rows.filter(few), k, False, key, vector) if len(large) < len(sizes) or not large else None
+    for dims in large:
+        own = F.size(vector) == dims
+        found = _indexed(spark, rows.filter(own), queries.filter(own), dims, sizes[dims], k, recall, key, vector)
+        out = out.unionByName(found) if out is not None else found
+    return ranked(out, "double")
+
+
+def _indexed(spark: SparkSession, rows: DataFrame, queries: DataFrame, dims: int, n: int, k: int, recall: float, key: str, vector: str) -> DataFrame:
+    """(query_id, top) of queries among n rows, all of one dimension, by learned partitions."""
     part_of_million = min(1_000_000, int(1_000_000 * SAMPLE / n))
     sample = rows.filter(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < part_of_million) if n > SAMPLE else rows
     drawn = sample.limit(SAMPLE).toArrow().combine_chunks()
-    x = max((m for _, m in matrix(drawn.column(1).combine_chunks())), key=len)
-    x = np.unique(x, axis=0)
-    dims = x.shape[1]
-    rows, queries = rows.filter(F.size(vector) == dims), queries.filter(F.size(vector) == dims)
-    if len(x) < 4 * k:
-        return ranked(search(spark, queries, rows, k, False, key, vector), "double")
+    x = np.unique(_rows(drawn.column(1), dims), axis=0)
+    if len(x) < 4 * k:  # hardly any different vectors in the sample
+        return search(spark, queries, rows, k, False, key, vector)
     parts = int(np.clip(n // PART_ROWS, 8, min(MOST_PARTS, max(8, len(x) // 24))))
     router, probes = fit(x, parts, k, recall)
 
@@ -205,7 +216,7 @@ def nearest(spark: SparkSession, df: DataFrame, is_query: Column, k: int, recall
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("part", pa.int64()), ("top", pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())])))]))
+            return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("part", pa.int64()), ("top", pa.list_(pa.struct([("less", pa.float64()), ("beyond", pa.binary()), ("id", pa.int64())])))]))
         ids, x = (t := left.sort_by(key)).column(key).to_numpy(), _rows(t.column(vector), dims)
         query_ids, q = right.column(key).to_numpy(), _rows(right.column(vector), dims)
         found = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -221,7 +232,7 @@ def nearest(spark: SparkSession, df: DataFrame, is_query: Column, k: int, recall
     short = save(spark, short, "ann-short")
     if not short.isEmpty():
         top = top.join(short.select(F.col(key).alias("query_id")), "query_id", "left_anti").unionByName(search(spark, short, rows, k, False, key, vector))
-    return ranked(top, "double")
+    return top
 
 
 def _rows(column: pa.ChunkedArray, dims: int) -> np.ndarray:

@@ -39,35 +39,57 @@ def matrix(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (row, score, id) triples each row's k highest scores, ties to the smaller id, in that order."""
-    order = np.lexsort((ids, -scores, rows))
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(rows)), key=lambda i: (rows[i], -scores[i], ids[i])), np.int64)
+    else:
+        order = np.lexsort((ids, -scores, rows))
     rows, scores, ids = rows[order], scores[order], ids[order]
     first = np.searchsorted(rows, rows, side="left")
     keep = np.arange(len(rows)) - first < k
     return rows[keep], scores[keep], ids[keep]
 
 
+def _but_own(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """scores without those of a query's own key. ids ascend."""
+    low, high = np.searchsorted(ids, query_ids, side="left"), np.searchsorted(ids, query_ids, side="right")
+    for r in np.flatnonzero(high > low):
+        scores[r, low[r] : high[r]] = -np.inf
+    return scores
+
+
+def _least(scores: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k-th highest score."""
+    n = scores.shape[1]
+    return np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+
+
+def huge(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What tile() gives for whole numbers of any size, with scores as Python's integers: the matrix product of the components divided by
+    the largest is an estimate, and those within its rounding error of the k-th are computed exactly."""
+    shrunk = [m / max(1.0, np.abs(m).max(initial=0)) for m in (queries, block)]
+    scores = _but_own(shrunk[0] @ shrunk[1].T, query_ids, ids)
+    rows, cols = np.nonzero((scores >= (_least(scores, k) - queries.shape[1] * 1e-14)[:, None]) & (scores > -np.inf))
+    exact, out = {}, np.empty(len(rows), object)
+    for n, (r, c) in enumerate(zip(rows.tolist(), cols.tolist(), strict=True)):
+        for name, m, at in (("q", queries, r), ("c", block, c)):
+            if (name, at) not in exact:
+                exact[name, at] = [int(x) for x in m[at]]
+        out[n] = sum(x * y for x, y in zip(exact["q", r], exact["c", c], strict=True))
+    return best(rows, out, ids[cols], k)
+
+
 def tile(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k best of one block of candidates, as (row, score, id). ids ascend.
 
-    whole: components are whole numbers; their products are exact in doubles below 2**53, else Python's
-    integers are used and scores beyond 64 bits become the nearest that fits. Otherwise the product is a
-    first estimate: all within its rounding error of the k-th are scored again one by one, always in the
-    same order of additions, so equal vectors get equal scores.
+    whole: components are whole numbers; their products are exact in doubles below 2**53, else they are what huge()
+    gives. Otherwise the product is a first estimate: all within its rounding error of the k-th are scored again
+    one by one, always in the same order of additions, so equal vectors get equal scores.
     """
     reach = np.abs(queries).max(initial=0) * np.abs(block).max(initial=0) * queries.shape[1]
-    if whole and reach >= 2.0**53:
-        exact = np.array([[int(x) for x in r] for r in queries], object) @ np.array([[int(x) for x in r] for r in block], object).T
-        scores = np.clip(exact, -(2**63) + 1, 2**63 - 1)
-        taken = [(r, scores[r, c], ids[c]) for r in range(len(queries)) for c in range(len(ids)) if query_ids[r] != ids[c]]
-        taken.sort(key=lambda x: (x[0], -x[1], x[2]))
-        rows = np.array([t[0] for t in taken], np.int64)
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
-        return rows[keep], np.array([t[1] for t in taken], np.int64)[keep], np.array([t[2] for t in taken], np.int64)[keep]
-    scores = queries @ block.T
-    low, high = np.searchsorted(ids, query_ids, side="left"), np.searchsorted(ids, query_ids, side="right")
-    for r in np.flatnonzero(high > low):
-        scores[r, low[r] : high[r]] = -np.inf
-    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
+    if whole and not reach < 2.0**53:
+        return huge(queries, query_ids, block, ids, k)
+    scores = _but_own(queries @ block.T, query_ids, ids)
+    least = _least(scores, k)
     slack = 0.0 if whole else reach * 1e-14
     rows, cols = np.nonzero((scores >= (least - slack)[:, None]) & (scores > -np.inf))
     if whole:
@@ -91,15 +113,33 @@ def ranked(top: DataFrame, score: str) -> DataFrame:
     return top.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.id").alias("vec_id"), (-F.col("t.less")).cast(score).alias("score"))
 
 
-LIST = "query_id long, part long, top array<struct<less: {0}, id: long>>"
+#: The best entry sorts first: less is the negated score, held within 64 bits; beyond orders those that don't fit.
+LIST = "query_id long, part long, top array<struct<less: {0}, beyond: binary, id: long>>"
+_MOST = (1 << 63) - 1
+
+
+def _beyond(less: int) -> bytes | None:
+    """Bytes that sort as numbers beyond 64 bits do; None for others."""
+    if abs(less) < _MOST:
+        return None
+    size = (less.bit_length() + 7) // 8
+    data = size.to_bytes(4, "big") + abs(less).to_bytes(size, "big")
+    return b"\1" + data if less > 0 else b"\0" + bytes(255 - b for b in data)
+
+
+def entries(scores: np.ndarray, ids: np.ndarray, kind: pa.DataType) -> pa.StructArray:
+    """Scores and keys as entries of LIST."""
+    if scores.dtype == object:
+        less, beyond = [max(-_MOST, min(_MOST, -s)) for s in scores], [_beyond(-s) for s in scores]
+    else:
+        less, beyond = -scores, [None] * len(scores)
+    return pa.StructArray.from_arrays([pa.array(less, kind), pa.array(beyond, pa.binary()), pa.array(ids, pa.int64())], ["less", "beyond", "id"])
 
 
 def as_lists(query_ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, part: int, kind: pa.DataType) -> pa.RecordBatch:
-    """Triples sorted by row, as rows of LIST. The score is negated: the best sorts first."""
+    """Triples sorted by row, as rows of LIST."""
     present, first = np.unique(rows, return_index=True)
-    less = pa.array(-scores, kind)
-    items = pa.StructArray.from_arrays([less, pa.array(ids, pa.int64())], ["less", "id"])
-    top = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), items)
+    top = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), entries(scores, ids, kind))
     return pa.RecordBatch.from_arrays([pa.array(query_ids[present], pa.int64()), pa.array([part] * len(present), pa.int64()), top], ["query_id", "part", "top"])
 
 
@@ -125,7 +165,8 @@ def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: in
             query_ids, vectors = held.value
             if vectors is None:
                 return
-            shape = (lambda m: np.floor(scale * m)) if whole else (lambda m: m)
+            most = np.finfo(np.float64).max
+            shape = (lambda m: np.floor(np.clip(scale * m, -most, most))) if whole else (lambda m: m)
             by_size = {m.shape[1]: (rows, shape(m)) for rows, m in matrix(vectors)}
             found = (np.zeros(0, np.int64), np.zeros(0, np.int64 if whole else float), np.zeros(0, np.int64))
             for batch in batches:
@@ -157,7 +198,9 @@ def exact_top_k(spark: SparkSession, df: DataFrame, is_query: Column, k: int, sc
     the smaller key. Rows whose key or vector is null, or whose vector is empty or holds null or non-finite
     components, take no part; neither do candidates of another dimension than the query's. A key that
     several rows repeat is one query (its least vector) and as many candidates as it has rows. With k
-    candidates or fewer all are returned; an empty table gives no row; other columns are left out.
+    candidates or fewer all are returned; an empty table gives no row; other columns are left out. Scores of any size are
+    ordered exactly; one beyond 64 bits is returned as the nearest number that fits. A component that overflows
+    when scaled is the largest double.
     """
     rows = valid(df, key, vector)
     return ranked(search(spark, valid(df.filter(is_query), key, vector), rows, k, True, key, vector, scale), "long")

@@ -47,11 +47,25 @@ def test_exact_top_k_in_many_blocks(spark, vectors, monkeypatch):
     assert [tuple(r) for r in got] == [(q, n, i, int(s)) for q, n, i, s in want]
 
 
-def test_huge_components_use_whole_numbers(spark):
-    vectors = [(0, [1e9, 3.0]), (1, [1e9, 1.0]), (2, [1e9, 2.0]), (3, [-1e9, 0.0])]
-    got = [(r.vec_id, r.score) for r in topk.exact_top_k(spark, table(spark, vectors), F.col("vec_id") == 0, 9).orderBy("rank").collect()]
-    x = 1024 * 10**9
-    assert got == [(1, 2**63 - 1), (2, 2**63 - 1), (3, -(2**63) + 1)] and x * x > 2**63
+@pytest.mark.parametrize("size, k", [(1e9, 10), (1e40, 3), (1e200, 4)])
+def test_huge_components_are_ordered_exactly(spark, size, k, monkeypatch):
+    """Rising scores beyond 64 bits in several blocks and tiles, with ties, small and negative ones among them."""
+    monkeypatch.setattr(topk, "TILE", 4)
+    monkeypatch.setattr(topk, "FAN", 2)
+    vectors = [(i, [size, float(i)]) for i in range(15)] + [(20, [-size, 1.0]), (21, [0.0, 5.0]), (22, [size, 14.0]), (23, [-size, 7.0]), (24, [size * 1.0000001, 0.0])]
+    got = [tuple(r) for r in topk.exact_top_k(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") < 2, k).orderBy("query_id", "rank").collect()]
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 1):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)
+        want += [(q, n + 1, i, max(1 - 2**63, min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores[:k])]
+    assert got == want
+
+
+def test_overflowing_components(spark):
+    vectors = [(0, [1.7e308, 1.0]), (1, [1.7e308, 2.0]), (2, [-1.7e308, 2.0])]
+    got = topk.exact_top_k(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 9).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 1 - 2**63)]
 
 
 def test_empty(spark):
@@ -68,14 +82,16 @@ def test_few_rows_return_all(spark):
 def test_learned_partitions(spark, vectors):
     rng = np.random.default_rng(8)
     more = [*vectors, *((1000 + i, rng.normal(size=8)) for i in range(2500))]
+    more += [(5000 + i, rng.normal(size=3)) for i in range(40)]  # another dimension, with few rows
     got = [tuple(r) for r in ann.nearest(spark, table(spark, more), F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
-    usable = [(i, v) for i, v in more if i != 602 and (v is None or len(v) == 8)]
+    usable = [(i, v) for i, v in more if i != 602]
     want = brute(usable, lambda i: i % 20 == 0, 20, lambda v: v)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     by = {(q, i): s for q, _, i, s in got}
     truth = {(q, i) for q, _, i, _ in want}
     assert len(truth & by.keys()) >= 0.9 * len(truth)
-    vector = {i: np.array(v, np.float32).astype(float) for i, v in usable if v is not None and i is not None and i < 500 or i is not None and i >= 1000}
+    assert {i for q, _, i, _ in got if q == 600} == {601} and {q for q, *_ in got} >= {5000, 5020}
+    vector = {i: np.array(v, np.float32).astype(float) for i, v in usable if v is not None and i is not None and (i < 500 or i >= 600)}
     for (q, i), s in list(by.items())[:2000]:
         if q != 100 and i != 100:
             assert s == pytest.approx(float((vector[q] * vector[i]).sum()), abs=1e-12)
@@ -91,3 +107,15 @@ def test_parts_are_balanced():
     label = ann.balanced_parts(graph, 8, rng)
     assert np.bincount(label, minlength=8).max() <= 1.1 * 100 + 1
     assert (label[graph] == label[:, None]).mean() > 0.6
+
+
+def test_each_dimension_has_an_index(spark, monkeypatch):
+    """Two dimensions with many rows each: all queries of both are answered, among vectors of their own dimension."""
+    monkeypatch.setattr(ann, "LEAST", 300)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8 if i < 700 else 5)) for i in range(1400)]
+    got = [tuple(r) for r in ann.nearest(spark, table(spark, rows), F.col("vec_id") % 20 == 0, 10).orderBy("query_id", "rank").collect()]
+    want = brute(rows, lambda i: i % 20 == 0, 10, lambda v: v)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert len({g[::2] for g in got} & {w[::2] for w in want}) >= 0.9 * len(want)
+    assert all((q < 700) == (i < 700) for q, _, i, _ in got)
