@@ -31,10 +31,8 @@ CLASSES, MEMBERS, FORMS, STATE = 32, 32, 48, 16
 VOCABULARY = CLASSES * MEMBERS
 #: Words whose counts are broadcast; counts of rarer ones are joined.
 KNOWN = 200_000
-#: Steps of a window, texts side by side, words of the warm-up sample.
-WINDOW, LANES, WARM = 48, 256, 400_000
-#: Characters of a text from which on the warm-up leaves it out, so that what the driver gets is bounded in bytes; training proper reads all texts.
-WARM_LENGTH = 20_000
+#: Steps of a window, texts side by side, bytes of the warm-up sample, about, and characters of a piece of it at most: long texts are cut.
+WINDOW, LANES, WARM, WARM_LENGTH = 48, 256, 2_500_000, 20_000
 #: Stands for the end of a text; no word is empty.
 END = ""
 
@@ -383,7 +381,7 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, key: str = "doc_i
     rows = docs.select(F.col(key).alias("key"), "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     training = rows.filter("learn")
     counts = save(spark, word_counts(training), "lm-counts")
-    n, v = counts.agg(F.sum("c"), F.count("*")).first()
+    n, v, size = counts.agg(F.sum("c"), F.count("*"), F.sum(F.col("c") * (F.octet_length("token") + 1))).first()
     n, v = int(n or 0), int(v)
     top = most_frequent(counts, "c", KNOWN).sort_by([("c", "descending"), ("token", "ascending")])
     known = pa.array(top.column(0).to_pylist(), pa.large_string())
@@ -397,8 +395,11 @@ def score(spark: SparkSession, docs: DataFrame, learn: Column, key: str = "doc_i
     net = Net.fresh(np.concatenate([filled.reshape(CLASSES, MEMBERS).sum(axis=1), form[0]]), filled)
     sums = [np.zeros_like(p) for p in net.parts()]
     if n:
-        share = min(1.0, WARM / n)
-        warm = training.filter(F.length("text") < WARM_LENGTH).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("text", F.xxhash64("text").alias("h")).limit(WARM // 20).toArrow().sort_by("h")
+        # of all pieces of all training texts, by their hashes; equal pieces count once, so many copies of a text don't fill it
+        share = min(1.0, WARM / max(1, size or 0))
+        cut = F.expr(f"regexp_extract_all(text, '(?s).{{1,{WARM_LENGTH}}}', 0)")
+        pieces = training.select(F.explode(F.when(F.length("text") > WARM_LENGTH, cut).otherwise(F.array("text"))).alias("text")).withColumn("h", F.xxhash64("text"))
+        warm = pieces.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).dropDuplicates(["h"]).toArrow().sort_by("h")
         texts = warm.column(0).combine_chunks().cast(pa.string()) if len(warm) else pa.array([], pa.string())
         for rate in (0.2, 0.1):
             for _, part in w.slices(texts, 4 << 20):
