@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from crawlwright.llm import words as w
 from crawlwright.llm.common import SLICE_BYTES, bounded, forget, most_frequent, save
 from crawlwright.llm.held import each
+from crawlwright.llm.numbering import numbered
 
 #: Frequent shingles that are broadcast (16 bytes each), at most; they only set the order, so a missing one costs time, never a link.
 MOST_FREQUENT = 300_000
@@ -92,7 +93,7 @@ def _ordered(owner: np.ndarray, h: np.ndarray, n: np.ndarray, s: np.ndarray, c:
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
-    """(doc_id, n, a, b, group, prefix): prefix has the first n - ceil(n * num / den) + 1 + n // 20 shingles."""
+    """(doc_id, n, a, b, group, prefix, row_hash): prefix has the first n - ceil(n * num / den) + 1 + n // 20 shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, c = frequent.value
@@ -109,11 +110,11 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, frequent) -> DataF
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.mix(h + place), dtype=np.uint64)])
                 group = (sums[ends[1:]] - sums[ends[:-1]]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
-                    ["doc_id", "n", "a", "b", "grp", "prefix"],
+                    [batch.column(0).slice(first, len(texts)), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b), pa.array(group), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))), batch.column(2).slice(first, len(texts))],
+                    ["doc_id", "n", "a", "b", "grp", "prefix", "row_hash"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, grp long, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash")).mapInArrow(run, "doc_id long, n long, a long, b long, grp long, prefix array<long>, row_hash long")
 
 
 def prefix_length(n, num: int, den: int):
@@ -341,18 +342,49 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
     Words are runs of anything but space and characters 9 to 13, A-Z lower-cased; a shingle is `size` words. A
     text with fewer words has its whole sequence as its only shingle. A null text or one without words has
     none: 0 shingles, no link, its own component. A row with a null doc_id has no link and a null component.
-    doc_ids are meant to be unique; of rows that share one, equal texts count once, and sets whose smallest
-    doc_id is the same count as one document. An empty table gives an empty one; other columns are left out. No link is
+    Rows may share a doc_id; with different texts they are documents of their own, and link or don't by their
+    texts. An empty table gives an empty one; other columns are left out. No link is
     lost: candidate pairs are complete for the measure, and a pair that isn't compared lies in one component
     already. Shingles are compared as 64-bit hashes, sets in the index as two.
     """
+    return _linked(spark, docs, size, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, row_hash) of the rows that stay if one of each component does, the one with the smallest doc_id and, among rows that
+    share it, the smallest row_hash, the text's xxhash64. Rows without shingles and rows with a null doc_id all stay. Distinct."""
+    found = _linked(spark, docs, size, num, den)
+    single = found.filter("n_shingles = 0 or doc_id is null").select("doc_id", "row_hash").distinct()
+    first = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("component").agg(F.min_by(F.struct("doc_id", "row_hash"), F.struct("doc_id", "row_hash")).alias("r"))
+    return single.unionByName(first.select("r.*"))
+
+
+def _renamed(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """_linked() where rows of different texts share doc_ids: each pair of doc_id and text gets a number, in order of the
+    doc_ids, that stands for it."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    names = save(spark, rows.filter("doc_id is not null").select("doc_id", "row_hash").distinct(), "jaccard-names")
+    names = save(spark, numbered(spark, names, [], ["doc_id", "row_hash"], "jaccard-named").select("doc_id", "row_hash", "place"), "jaccard-places")
+    placed = save(spark, rows.join(names, ["doc_id", "row_hash"], "left").select(F.col("place").alias("doc_id"), "text"), "jaccard-placed")
+    found = _linked(spark, placed, size, num, den).withColumnRenamed("doc_id", "place").drop("component")
+    lead = names.select(F.col("place").alias("component_id"), F.col("doc_id").alias("lead"))
+    found = found.join(names.drop("row_hash"), "place", "left").join(lead, "component_id", "left")
+    return found.select("doc_id", "n_shingles", F.col("lead").alias("component_id"), "row_hash", F.col("component_id").alias("component"))
+
+
+def _linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """linked() with row_hash, a hash of the row's text, and component, a number that no other component has."""
     bounded(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given = docs
     frequent = spark.sparkContext.broadcast(_frequent(docs, size))
     read = save(spark, _prefixes(docs, size, num, den, frequent), "jaccard-read")
+    if not read.filter("n > 0").groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y and doc_id is not null").isEmpty():
+        forget(spark, read)
+        return _renamed(spark, given, size, num, den)
     some = read.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     groups = save(spark, some.groupBy("n", "grp").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "jaccard-groups")
-    rows = save(spark, read.select("doc_id", "n", "a", "b", "grp"), "jaccard-rows")
+    rows = save(spark, read.select("doc_id", "n", "a", "b", "grp", "row_hash"), "jaccard-rows")
     forget(spark, read)
     some = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     members = save(spark, some.groupBy("n", "grp", "a", "b").agg(F.min("doc_id").alias("id")), "jaccard-members")
@@ -397,4 +429,4 @@ def linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
 
     labelled = members.select("n", "a", "b", "id").join(found, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("set"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("set", "doc_id"))
-    return rows.join(labelled, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.join(labelled, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row_hash", component.alias("component"))

@@ -34,9 +34,26 @@ def test_stages(spark, docs, rows, empty):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         duckdb.sql(f"create or replace view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(map(tuple, df.select(cols).collect()))
     assert got == sorted(duckdb.sql(f"select {', '.join(cols)} from ({queries.ORACLE_SQL[name]})").fetchall())
+
+
+def test_no_copy_survives_repeated_ids(spark):
+    text, near = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(39))
+    other, third = " ".join(f"o{k}" for k in range(40)), " ".join(f"t{k}" for k in range(40))
+    stage = corpus_pipeline.near_duplicates
+
+    def left(*rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+    assert left((2, text), (5, text), (5, other)) == [(2, text), (5, other)]
+    assert left((2, text), (5, text), (5, text), (2, text)) == [(2, text)]
+    assert len(left((2, text), (2, near), (3, other))) == 2  # near copies of one id
+    assert len(left((2, text), (2, text.upper()))) == 1  # one set, two texts
+    assert left((2, text), (2, other), (3, near), (4, other), (4, third)) == [(2, other), (2, text), (4, third)]
+    assert left((None, text), (None, text), (7, ""), (7, " "), (7, None), (8, text)) == sorted([(None, text)] * 2 + [(7, ""), (7, " "), (7, None), (8, text)], key=str)
