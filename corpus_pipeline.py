@@ -24,12 +24,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles with a Jaccard index of 0.8 or more the one with the
-    smallest doc_id stays. Rows without words, or with a null doc_id, stay; equal rows of one doc_id become one."""
-    docs = docs.select(COLUMNS)
-    keep = jaccard.linked(spark, docs, size=5, num=80, den=100).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    return named.select(COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each group of documents linked by five-word shingles with a Jaccard index of 0.8 or more one stays: the one with the
+    smallest doc_id and, if several rows share that doc_id, the smallest hash of its text. Rows without words, or with a null doc_id, stay;
+    equal rows of one doc_id become one."""
+    docs = docs.select(COLUMNS).withColumn("row_hash", F.xxhash64("text"))
+    stay = jaccard.representatives(spark, docs, size=5, num=80, den=100).filter("doc_id is not null")
+    return docs.join(stay, ["doc_id", "row_hash"]).dropDuplicates(["doc_id", "row_hash"]).select(COLUMNS).unionByName(docs.filter("doc_id is null").select(COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents' pieces in sequences of at most 2048 tokens."""
+    """The kept documents' pieces in sequences of at most 2048 tokens. A null text is an empty one, with the end mark as its only
+    token; repeated rows and null doc_ids are documents of their own; pieces of equal length are dealt in order of their hashes."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, size=2048)
 
 
