@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,39 +30,56 @@ def quota(events: DataFrame, limit: int, late: str = "10 minutes") -> DataFrame:
     return g.withColumn("allowed", F.least("requests", F.lit(limit).cast("long")))
 
 
-ALERTS = "user_id long, kind string, at timestamp, fails long"
+ALERTS = "user_id long, kind string, at timestamp, since timestamp, fails long"
+_STATE = "at array<long>, seq array<long>, fail array<boolean>, sent array<boolean>, last long, fails long, first long, told boolean"
 
 
-def outage_alerts(events: DataFrame, least: int = 2, stale: str = "60 minutes", late: str = "10 minutes") -> DataFrame:
-    """An alert when a user's probes fail `least` times in a row, and another on recovery. State that hears nothing for
-    `stale` past the watermark is dropped."""
-    wait = pd.Timedelta(stale)
+def outage_alerts(events: DataFrame, least: int = 2, stale: str = "26 hours", late: str = "10 minutes", fail: Column | None = None, sent: Column | None = None) -> DataFrame:
+    """What operators.control.outage_alerts() says of the same checks, on a stream: rows may come in any order, as long as none is
+    later than `late`.
+
+    A row is held in its key's state until the watermark has passed it; a timer at the oldest held row's time wakes the key up if
+    no row comes. What is due then is folded in order of time and event_id. So a key holds the rows of the last `late` alone, and a
+    state that hears nothing for `stale` past the watermark is dropped, which is what a late check would do to it.
+    """
+    wait = pd.Timedelta(stale).value // 1000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        at, seq, bad, sent_, last, fails, first, told = state.get if state.exists else ([], [], [], [], None, 0, None, False)
+        held = list(zip(at, seq, bad, sent_, strict=True))
+        if not state.hasTimedOut:
+            for rows in batches:
+                held += zip((rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), rows["event_id"].tolist(), rows["fail"].tolist(), rows["sent"].tolist(), strict=True)
+        mark = state.getCurrentWatermarkMs() * 1000
+        due, held = sorted(r for r in held if r[0] <= mark), [r for r in held if r[0] > mark]
+        out = []
+        for t, _, f, s in due:
+            if last is not None and t > last + wait:
+                fails, first, told = 0, None, False
+            last = t
+            fails, first = (fails + 1, first if fails else t) if f else (0, None)
+            kind = "down" if f and fails >= least and not told else "up" if not f and told else None
+            if kind and s:
+                told = kind == "down"
+                out.append((key[0], kind, t, first, fails))
+        if held or last is None or last + wait > mark:
+            state.update((*([r[i] for r in held] for i in range(4)), last, fails, first, told))
+            wake = min(r[0] for r in held) if held else last + wait
+            state.setTimeoutTimestamp(max(mark, wake) // 1000 + 1)
+        else:
             state.remove()
-            return
-        fails, down = state.get if state.exists else (0, False)
-        out, last = [], None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in rows.itertuples():
-            last = r.ts
-            if r.event_type == "error":
-                fails += 1
-                if fails >= least and not down:
-                    down = True
-                    out.append((key[0], "down", r.ts, fails))
-            else:
-                if down:
-                    out.append((key[0], "up", r.ts, fails))
-                fails, down = 0, False
-        state.update((fails, down))
-        mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(mark + 1, int((last + wait).timestamp() * 1000)))
-        yield pd.DataFrame(out, columns=["user_id", "kind", "at", "fails"])
-
-    marked = events.withWatermark("ts", late).select("user_id", "event_id", "event_type", "ts")
-    return marked.groupBy("user_id").applyInPandasWithState(fold, ALERTS, "fails long, down boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        frame = pd.DataFrame(out, columns=["user_id", "kind", "at", "since", "fails"])
+        yield frame.assign(at=pd.to_datetime(frame["at"], unit="us"), since=pd.to_datetime(frame["since"], unit="us"))
+
+    bad = F.col("event_type") == "error" if fail is None else fail
+    marked = events.withWatermark("ts", late).select("user_id", "event_id", "ts", F.coalesce(bad, F.lit(False)).alias("fail"), F.coalesce(F.lit(True) if sent is None else sent, F.lit(False)).alias("sent"))
+    return marked.groupBy("user_id").applyInPandasWithState(fold, ALERTS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sliding_counts(events: DataFrame, sites: DataFrame, late: str = "10 minutes", size: str = "1 hour", every: str = "15 minutes") -> DataFrame:
+    """Events by a site's plan in windows that overlap: the stream joined to a static table (user_id, plan), then counted; events of unknown sites count under none."""
+    known = events.withWatermark("ts", late).join(sites, "user_id", "left")
+    return known.groupBy(F.window("ts", size, every), F.coalesce("plan", F.lit("none")).alias("plan")).agg(F.count("*").alias("n"))
 
 
 def keep_latest(path: str, keys: list[str], order: list[str]):
