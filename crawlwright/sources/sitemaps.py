@@ -16,10 +16,11 @@ def _tag(block, tag: str):
     return F.trim(x)
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """(url, kind, loc, lastmod) from (url, xml): kind is sitemap for a nested file, url for a page."""
+def entries(files: DataFrame, place: str | None = None) -> DataFrame:
+    """(url, kind, loc, lastmod) from (url, xml): kind is sitemap for a nested file, url for a page. place: a column for the entry's place in its file."""
     blocks = lambda kind: F.transform(F.regexp_extract_all("xml", F.lit(rf"(?is)(<{kind}\b.*?</{kind}>)"), 1), lambda b: F.struct(F.lit(kind).alias("kind"), _tag(b, "loc").alias("loc"), _tag(b, "lastmod").alias("lastmod")))
-    rows = files.select("url", F.explode(F.concat(blocks("sitemap"), blocks("url"))).alias("e")).select("url", "e.*")
+    rows = files.select("url", F.posexplode(F.concat(blocks("sitemap"), blocks("url"))).alias("_place", "e")).select("url", "_place", "e.*")
+    rows = rows.withColumnRenamed("_place", place) if place else rows.drop("_place")
     return rows.filter("loc <> ''").withColumn("loc", u.absolute(F.col("loc"), F.col("url")))
 
 
