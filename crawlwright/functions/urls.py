@@ -186,6 +186,36 @@ def likely_html(url: Column) -> Column:
     return url.rlike(_PARTS) & ~F.lower(path(url)).rlike(r"\.(txt|xml|json|csv|pdf|png|jpe?g|gif|webp|svg|ico|css|js|map|zip)$")
 
 
+#: Columns that against() reads, by SQL over a column url: the parts of a page's address that resolving needs, taken apart once a page.
+BASE = {
+    "_scheme": f"lower(regexp_extract(url, r'{_PARTS}', 1))",
+    "_path": f"if(regexp_extract(url, r'{_PARTS}', 3) = '', '/', regexp_extract(url, r'{_PARTS}', 3))",
+    "_bare": "regexp_replace(url, '#.*$', '')",
+}
+
+
+def _origin_sql(url: str) -> str:
+    scheme, authority = f"lower(regexp_extract({url}, r'{_PARTS}', 1))", f"lower(regexp_extract({url}, r'{_PARTS}', 2))"
+    return f"concat({scheme}, '://', regexp_replace({authority}, CASE {scheme} WHEN 'http' THEN ':(80)?$' WHEN 'https' THEN ':(443)?$' ELSE ':$' END, ''))"
+
+
+BASE["_origin"] = _origin_sql("url")
+
+
+def against(href: str) -> str:
+    """absolute() as SQL text, for an address given as SQL in a row that has the columns of BASE. Within a lambda over many links a Column
+    of this size would be put together once for each of its calls, and would take the page's own address apart for every link."""
+    joined = f"""CASE WHEN {href} RLIKE '^[A-Za-z][A-Za-z0-9+.-]*:' THEN {href} WHEN startswith({href}, '//') THEN concat(_scheme, ':', {href})
+      WHEN startswith({href}, '/') THEN concat(_origin, {href}) WHEN startswith({href}, '?') THEN concat(_origin, _path, {href})
+      WHEN startswith({href}, '#') THEN concat(_bare, {href}) ELSE concat(_origin, regexp_replace(_path, '[^/]*$', ''), {href}) END"""
+    path = f"if(regexp_extract(w, r'{_PARTS}', 3) = '', '/', regexp_extract(w, r'{_PARTS}', 3))"
+    kept = f"""aggregate(slice(split({path}, '/'), 2, {1 << 20}), cast(array() AS array<string>), (done, s) ->
+      CASE WHEN s = '.' THEN done WHEN s = '..' THEN slice(done, 1, greatest(size(done) - 1, 0)) ELSE concat(done, array(s)) END)"""
+    tidy = f"concat({_origin_sql('w')}, '/', array_join({kept}, '/'), regexp_extract(w, r'{_PARTS}', 4), regexp_extract(w, r'{_PARTS}', 5))"
+    dots = f"w RLIKE r'/\\.\\.?(/|$|\\?|#)' AND {path} RLIKE r'/\\.\\.?(/|$)'"
+    return f"element_at(transform(array({joined}), w -> CASE WHEN {dots} THEN {tidy} ELSE w END), 1)"
+
+
 def absolute(href: Column, base: Column) -> Column:
     """href against base; dot segments are resolved by a fold over the path's segments."""
     folder = F.regexp_replace(path(base), "[^/]*$", "")

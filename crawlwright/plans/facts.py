@@ -117,8 +117,20 @@ def extracted(pages: DataFrame) -> DataFrame:
     hrefs = F.regexp_extract_all("_markup", F.lit(LINK), 1)
     images = F.regexp_extract_all("_markup", F.lit(IMAGE), 1)
     ld = F.regexp_extract_all("_html", F.lit(JSON_LD), 1)
-    here = lambda c: F.when(c == "", F.lit("")).otherwise(u.absolute(c, F.col("url")))
-    files = lambda c, pattern: F.transform(F.regexp_extract_all(c, F.lit(pattern), 1), lambda h: u.absolute(h, F.col("url")))
+    one = one.withColumns({k: F.expr(v) for k, v in u.BASE.items()})
+    one = one.withColumns(
+        {
+            "_links": hrefs,
+            "_scripts": F.regexp_extract_all("_html", F.lit(SCRIPT_FILE), 1),
+            "_sheets": F.regexp_extract_all("_html", F.lit(STYLESHEET), 1),
+            "_alternates": F.regexp_extract_all("_head", F.lit(ALTERNATE_HREF), 1),
+            "_sources": F.transform(images, lambda x: F.regexp_extract(x, r"""(?i)\bsrc=["']([^"']*)["']""", 1)),
+            "_single": F.array(_meta(F.col("_metas"), "name", "twitter:image"), *[_meta(F.col("_metas"), "property", k) for k in ("og:image", "og:url")], *[_rel(F.col("_rels"), k) for k in ("canonical", "apple-touch-icon", "icon")]),
+        }
+    )
+    one = one.withColumn("_here", F.expr(f"transform(_single, h -> if(h = '', '', {u.against('h')}))"))
+    full = lambda c: F.expr(f"transform({c}, h -> {u.against('h')})")
+    here = lambda i: F.get("_here", F.lit(i))
     out = one.select(
         "page_id",
         "url",
@@ -127,34 +139,32 @@ def extracted(pages: DataFrame) -> DataFrame:
         u.path(url).alias("path"),
         F.trim(t.decode(t.strip_tags(F.regexp_extract("_head", TITLE, 1)))).alias("title"),
         *[_meta(F.col("_metas"), "name", k).alias(v) for k, v in (("description", "description"), ("robots", "robots"), ("viewport", "viewport"), ("generator", "generator"))],
-        here(_meta(F.col("_metas"), "name", "twitter:image")).alias("twitter_image"),
-        *[here(_meta(F.col("_metas"), "property", k)).alias(v) for k, v in (("og:image", "og_image"), ("og:url", "og_url"))],
-        _rel(F.col("_rels"), "canonical").alias("canonical"),
-        here(_rel(F.col("_rels"), "canonical")).alias("canonical_url"),
-        here(_rel(F.col("_rels"), "apple-touch-icon")).alias("touch_icon"),
-        here(_rel(F.col("_rels"), "icon")).alias("icon"),
+        *[here(i).alias(v) for i, v in enumerate(("twitter_image", "og_image", "og_url"))],
+        F.get("_single", F.lit(3)).alias("canonical"),
+        *[here(i).alias(v) for i, v in enumerate(("canonical_url", "touch_icon", "icon"), 3)],
         F.regexp_extract("_html", HTML_LANG, 1).alias("lang"),
         F.regexp_extract("_html", CHARSET, 1).alias("charset"),
         F.lower(F.ltrim("_html")).startswith("<!doctype html").alias("doctype"),
         F.transform(F.regexp_extract_all("_markup", F.lit(HEADING_LEVEL), 1), lambda x: x.cast("int")).alias("levels"),
         F.transform(F.regexp_extract_all("_markup", F.lit(HEADING_TEXT), 1), t.plain).alias("headings"),
-        F.transform(hrefs, lambda h: u.absolute(h, F.col("url"))).alias("links"),
+        full("_links").alias("links"),
         F.transform(F.regexp_extract_all("_markup", F.lit(LINK_TEXT), 1), t.plain).alias("link_texts"),
-        files("_html", SCRIPT_FILE).alias("scripts"),
-        files("_html", STYLESHEET).alias("stylesheets"),
+        full("_scripts").alias("scripts"),
+        full("_sheets").alias("stylesheets"),
         F.zip_with(
-            F.regexp_extract_all("_head", F.lit(ALTERNATE_CODE), 1), files("_head", ALTERNATE_HREF), lambda code, href: F.struct(code.alias("code"), href.alias("href"))
+            F.regexp_extract_all("_head", F.lit(ALTERNATE_CODE), 1), full("_alternates"), lambda code, href: F.struct(code.alias("code"), href.alias("href"))
         ).alias("hreflangs"),
         F.size(images).alias("images"),
         F.size(F.filter(images, lambda x: ~x.rlike(r"(?i)\balt\s*="))).alias("images_without_alt"),
-        F.transform(images, lambda x: u.absolute(F.regexp_extract(x, r"""(?i)\bsrc=["']([^"']*)["']""", 1), F.col("url"))).alias("image_urls"),
+        full("_sources").alias("image_urls"),
         ld.alias("json_ld_blocks"),
         F.size(ld).alias("json_ld"),
         F.size(F.filter(ld, lambda x: F.try_parse_json(x).isNull())).alias("json_ld_invalid"),
         t.plain(F.col("_body")).alias("body_text"),
         F.substring(F.coalesce(F.get(leads, F.lit(0)), F.lit("")), 1, 600).alias("lead_text"),
     )
-    inner = F.size(F.filter("links", lambda x: u.origin(x) == F.col("origin")))
+    # most links begin with the origin as it stands; only others are taken apart
+    inner = F.size(F.filter("links", lambda x: F.when(x.startswith(F.concat("origin", F.lit("/"))), F.lit(True)).otherwise(u.origin(x) == F.col("origin"))))
     out = out.withColumn("_schema", schema("json_ld_blocks")).withColumns(
         {
             "schema_types": F.col("_schema.types"),

@@ -28,6 +28,8 @@ def one(spark, fn, *values):
 )
 def test_absolute(spark, href, base, want):
     assert one(spark, u.absolute, href, base) == want
+    row = spark.createDataFrame([(href, base)], "href string, url string").withColumns({k: F.expr(v) for k, v in u.BASE.items()})
+    assert row.select(F.expr(u.against("href"))).first()[0] == want
 
 
 @pytest.mark.parametrize(
