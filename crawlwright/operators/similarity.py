@@ -12,10 +12,10 @@ from crawlwright.shared import save
 def representatives(sets: DataFrame, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(distinct sets with the least id that has each as `rep`, membership (id, rep)): copies are compared once.
 
-    Sets are told apart by two 64-bit hashes of their sorted items."""
+    Sets are told apart by two 64-bit hashes of their items in order."""
     place = [by] if by else []
     items = F.sort_array("items")
-    keyed = sets.withColumns({"_a": F.xxhash64(items), "_b": F.hash(F.reverse(items), F.size("items"))})
+    keyed = sets.withColumns({"_a": F.xxhash64(items), "_b": F.xxhash64(F.lit(1), items)})
     reps = keyed.groupBy(*place, "_a", "_b").agg(F.min("id").alias("rep"), F.first("items").alias("items"))
     member = keyed.select(*place, "id", "_a", "_b").join(reps.select(*place, "_a", "_b", "rep"), [*place, "_a", "_b"]).select(*place, "id", "rep")
     return reps.select(*place, F.col("rep").alias("id"), "items"), member
@@ -30,10 +30,13 @@ def similar_representatives(sets: DataFrame, num: int, den: int, by: str | None
     """
     place = [by] if by else []
     one = sets.select(*place, "id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    often = one.groupBy("item").agg(F.count("*").alias("df"))
-    at = F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
+    # items of one set alone come first in the order and join nothing: only their number is needed
+    often = one.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    common = one.join(often, "item")
+    alone = F.col("n") - F.count("*").over(W.partitionBy("id"))
+    at = alone + F.row_number().over(W.partitionBy("id").orderBy("df", "item"))
     length = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den) - F.lit(1e-9)) + 1
-    prefix = one.join(often, "item").withColumn("p", at).filter(F.col("p") <= length).filter("df > 1")
+    prefix = common.withColumn("p", at).filter(F.col("p") <= length)
     side = lambda a: [F.col("id").alias(a), F.col("n").alias(f"{a}n"), F.col("p").alias(f"{a}p")]
     a, b = prefix.select(*place, "item", *side("x")), prefix.select(*place, "item", *side("y"))
     need = F.ceil((F.col("xn") + F.col("yn")) * F.lit(num) / F.lit(num + den) - F.lit(1e-9))
@@ -50,9 +53,11 @@ def similar_sets(sets: DataFrame, num: int, den: int, by: str | None = None) ->
 
     Equal sets are collapsed first and only their representatives compared; the answer's pairs are then expanded by membership, so
     its size is that of the answer itself. Where copies are many, take representatives() and similar_representatives(). An
-    empty set is similar to nothing; ids are unique; nulls in items don't count."""
+    empty set is similar to nothing; ids are unique; nulls in items don't count. Items are compared as 64-bit hashes, and the sets of
+    hashes are written once, so what makes the items runs once."""
     place = [by] if by else []
-    sets = sets.select(*place, "id", F.array_distinct(F.array_compact("items")).alias("items")).filter(F.size("items") > 0)
+    hashed = F.array_distinct(F.transform(F.array_compact("items"), lambda x: F.xxhash64(x)))
+    sets = save(sets.select(*place, "id", hashed.alias("items")).filter(F.size("items") > 0), "hashed")
     reps, member = representatives(sets, by)
     reps, member = save(reps, "sets"), save(member, "members")
     size = reps.select(F.col("id").alias("rep"), F.size("items").alias("s"))
