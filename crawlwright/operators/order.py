@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from crawlwright.shared import save
+
 #: Bits of the order's number that one lot of a group spans: a lot holds a million rows at most, as the number is unique in its group.
 LOT_BITS = 20
 
@@ -35,3 +37,17 @@ def running(rows: DataFrame, by: list[str], at: str, bits: int = LOT_BITS, **wei
 def place(rows: DataFrame, by: list[str], at: str, name: str, bits: int = LOT_BITS) -> DataFrame:
     """rows with each row's place from 1 in its group by `at`."""
     return running(rows, by, at, bits, **{name: 1}).withColumn(name, F.col(name) + 1)
+
+
+def ranked(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """rows with each row's place from 1 in the whole table by `order`: rows are dealt by ranges of the order and sorted, so the only
+    window goes over the parts' counts, a row a part. rows should be a written table, since finding the ranges reads it once more; rows that are equal in the order
+    come in any order."""
+    keys = [*order, "_tie"]
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the number's upper bits are the part's, so numbers ascend with the order over all parts
+    dealt = save(dealt.select(*rows.columns, F.monotonically_increasing_id().alias("_at")), "ranked")
+    part = F.shiftright("_at", 33).alias("_part")
+    parts = dealt.groupBy(part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n") - F.col("_first")).alias("_before"))
+    return dealt.withColumn("_part", part).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_at") + F.col("_before") + 1).alias(name))

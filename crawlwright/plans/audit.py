@@ -15,8 +15,8 @@ from crawlwright.plans import facts as f
 from crawlwright.plans import probes, rules, score
 from crawlwright.shared import save
 
-#: Site findings come after those of all pages.
-AFTER_PAGES = 1 << 42
+#: Site findings come after those of all pages: a page's place takes 20 bits and its number, so sites may have 2**42 pages.
+AFTER_PAGES = 1 << 62
 COLUMNS = ["host", "page_id", "page_seq", "label", "rule_seq", "sub", "kind", "severity", "confidence", "rule"]
 
 

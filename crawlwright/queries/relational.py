@@ -7,7 +7,9 @@ from pyspark.sql.window import Window as W
 
 from crawlwright.operators import folds, graph
 from crawlwright.operators import tables as ops
+from crawlwright.operators.order import ranked
 from crawlwright.registry import query, table
+from crawlwright.shared import save
 
 _TS = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 
@@ -166,19 +168,18 @@ def keyset_page(spark, sf_dir):
     return page.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS BIGINT) AS n FROM orders ORDER BY n LIMIT 100")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS n FROM orders")
 def case_order(spark, sf_dir):
-    keys = [F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("r"), F.desc("o_totalprice"), F.col("o_orderkey")]
-    top = table(spark, sf_dir, "orders").withColumn("r", keys[0]).orderBy("r", keys[1], keys[2]).limit(100)
-    return top.withColumn("n", F.row_number().over(W.orderBy("r", keys[1], keys[2])).cast("long")).select("o_orderkey", "n")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("r"))
+    return ranked(rows, ["r", F.desc("o_totalprice"), "o_orderkey"], "n").select("o_orderkey", "n")
 
 
-@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY first_order NULLS FIRST, c_custkey) AS BIGINT) AS n FROM (SELECT c_custkey, min(o_orderdate) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) ORDER BY n LIMIT 50")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY first_order NULLS FIRST, c_custkey) AS n FROM (SELECT c_custkey, min(o_orderdate) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
 def nulls_first(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     first = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("first_order"))
-    top = c.select("c_custkey").join(first, "c_custkey", "left").orderBy(F.asc_nulls_first("first_order"), "c_custkey").limit(50)
-    return top.withColumn("n", F.row_number().over(W.orderBy(F.asc_nulls_first("first_order"), "c_custkey")).cast("long")).select("c_custkey", "n")
+    rows = save(c.select("c_custkey").join(first, "c_custkey", "left"), "first-orders")
+    return ranked(rows, [F.asc_nulls_first("first_order"), "c_custkey"], "n").select("c_custkey", "n")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber, CAST(nth AS BIGINT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_quantity, l_orderkey, l_linenumber) AS nth FROM lineitem) WHERE nth <= 3")
