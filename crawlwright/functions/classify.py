@@ -34,17 +34,17 @@ EFFORTS = [
     ("45-120 min", ["slow", "large"]),
     ("30-90 min", ["thin", "internal links", "heading"]),
 ]
-#: What an area of findings takes and what work it is.
+#: What an area of findings takes and what work it is.
 AREA_EFFORTS = [("5-15 min", ["title", "meta-description", "canonical", "social"]), ("15-45 min", ["structured-data", "images", "internal-links", "hreflang", "mobile"]), ("30-90 min", ["security", "content-depth", "crawl-discovery"]), ("45-120 min", ["performance"])]
 AREA_WORK = [("content", ["title", "meta-description", "content-depth", "images", "internal-links", "social"]), ("code", ["structured-data", "canonical", "mobile"]), ("technical", ["performance", "security", "crawl-discovery", "hreflang"])]
-#: The kind of work by words of a finding's title.
+#: The kind of work by words of a finding's title.
 WORK = [
     ("content", ["title", "description", "thin", "alt"]),
     ("code", ["schema", "canonical", "viewport", "social"]),
     ("content", ["broken link", "broken image"]),
     ("technical", ["robots", "sitemap", "redirect", "hreflang", "https", "security", "slow", "large", "pagespeed", "largest contentful paint", "total blocking time", "layout shift"]),
 ]
-#: Acceptance checks: all of the first words and, if there are any, one of the second ones.
+#: Fixed values, but for the labels: acceptance checks: all of the first words and, if there are any, one of the second ones.
 ACCEPTANCE = [
     ("title", ["title"], []),
     ("description", ["description"], []),
@@ -73,7 +73,7 @@ ACCEPTANCE = [
     ("robots.txt", ["robots.txt"], []),
     ("sitemap", ["sitemap"], []),
 ]
-#: Words that decide how a repair can be made.
+#: Words that decide how a repair can be made.
 PLATFORM_WORDS = ["wordpress", "woocommerce", "shopify", "webflow", "cms", "platform-seo-audit"]
 CODE_WORDS = ["schema", "canonical", "viewport", "doctype", "charset", "social share", "og:image", "twitter:image"]
 COPY_WORDS = ["title", "description", "h1", "alt"]

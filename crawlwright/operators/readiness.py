@@ -23,9 +23,9 @@ QUESTIONS = [
 ]
 HOME_SECTIONS = ["faq", "frequently asked", "how it works", "pricing", "compare", "comparison", "why", "what is", "who is"]
 ENOUGH_WORDS, SHELL_WORDS, SHELL_STATIC_WORDS = 250, 160, 80
-#: What each shortcoming costs.
+#: What each shortcoming costs.
 COSTS = {"thin": 28, "unstructured": 16, "unclear": 18, "unanswering": 10, "no_llms_txt": 4, "search_blocked": 40, "answers_blocked": 24}
-#: The checks' findings in their order: check, severity and title.
+#: The checks' findings in their order: check, severity and title.
 FINDINGS = [
     (69, "thin", "warning", "AI Answer Readiness: rendered pages lack extractable detail"),
     (70, "unstructured", "notice", "AI Answer Readiness: helpful structured data was not proven"),

@@ -34,7 +34,7 @@ SCRIPT_FILE = r"""(?is)<script\b[^>]*src=["']([^"']+)["'][^>]*>"""
 STYLESHEET = r"""(?is)<link\b(?=[^>]*rel=["'][^"']*stylesheet[^"']*["'])(?=[^>]*href=["']([^"']+)["'])[^>]*>"""
 ALTERNATE_CODE = r"""(?is)<link\b(?=[^>]*rel=["'][^"']*alternate[^"']*["'])(?=[^>]*hreflang=["']([^"']+)["'])(?=[^>]*href=["'][^"']+["'])[^>]*>"""
 ALTERNATE_HREF = r"""(?is)<link\b(?=[^>]*rel=["'][^"']*alternate[^"']*["'])(?=[^>]*hreflang=["'][^"']+["'])(?=[^>]*href=["']([^"']+)["'])[^>]*>"""
-#: Parts of structured data that hold further items.
+#: Parts of structured data that hold further items.
 NESTED = ["@graph", "itemListElement", "mainEntity", "hasPart", "review", "offers", "aggregateRating", "breadcrumb"]
 
 

@@ -151,14 +151,14 @@ def guards(static: DataFrame, rendered: DataFrame) -> DataFrame:
 
 #: How many links and images of a page are checked, and from which number of pages on only the first ones are.
 LINKS_CHECKED, IMAGES_CHECKED, ALL_PAGES, FIRST_PAGES = 50, 25, 50, 10
-#: Rules on how a page loads: order, title, severity, confidence, and what decides. They are limits on a row of loads.
+#: Rules on how a page loads: order, title, severity, confidence, and what decides. They are limits on a row of loads.
 LOAD_RULES = [
     (18, "URL redirects before rendering", "notice", "needs-review", "moved"),
     (19, "Long redirect chain before rendering", "warning", "verified", "chain_length > 1"),
     (20, "Slow rendered load", "warning", "needs-review", f"settled and load_ms > {SLOW_LOAD}"),
     (21, "Large HTML response", "notice", "needs-review", f"transfer_size > {LARGE_HTML}"),
 ]
-#: Audits of a speed report that may name a saving, in the order in which equal ones are listed.
+#: Audits of a speed report that may name a saving, in the order in which equal ones are listed.
 OPPORTUNITIES = [
     "render-blocking-resources",
     "unused-javascript",
