@@ -58,6 +58,12 @@ def forget(spark: SparkSession, *frames: DataFrame) -> None:
             remove(spark, path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver's JVM collect: broadcast blocks, shuffle files and plans of finished steps go only when its collector finds them
+    unused, and its heap shrinks only then. For operators of very many steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column's text form, modulo n; 0 where the column is null."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(n), F.lit(0))

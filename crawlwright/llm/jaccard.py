@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlwright.llm import words as w
-from crawlwright.llm.common import SLICE_BYTES, bounded, forget, most_frequent, save
+from crawlwright.llm.common import SLICE_BYTES, bounded, collect_garbage, forget, most_frequent, save
 from crawlwright.llm.held import each
 from crawlwright.llm.numbering import numbered
 
@@ -400,17 +400,20 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
     met = save(spark, _candidates(bucket, _wide(bucket), enough, num, den), "jaccard-met")
     many = save(spark, bucket.filter(F.col("size") > SMALL), "jaccard-many")
     forget(spark, bucket)
+    collect_garbage(spark)
     # within groups: second prefixes
     own = save(spark, _buckets(_second(docs, crowd, size, num, den, frequent)), "jaccard-own")
     met_own = _candidates(own, _wide(own), F.col("enough"), num, den)
 
     sized = _sized(met, apart.select("gid", "m"))
     first = save(spark, _expanded(sized, crowd).unionByName(met_own).distinct(), "jaccard-pairs")
+    collect_garbage(spark)
     marks = members.select("id", "a", "b")
     wanted = first.select(F.col("x").alias("id")).unionByName(first.select(F.col("y").alias("id"))).distinct()
     sets = save(spark, _sets(docs, wanted, marks, size), "jaccard-sets")
     links = save(spark, _verified(first, sets, num, den), "jaccard-links")
     found = components(spark, links)
+    collect_garbage(spark)
 
     # what a hub stood for and isn't one component yet
     single = found.select(F.col("id").alias("v"), F.col("component").alias("lo"), F.col("component").alias("hi"), F.col("component").alias("own"))
