@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from crawlwright.functions import text as t
+from crawlwright.operators.overlap import contained
 from crawlwright.operators.similarity import similar_sets
 from crawlwright.registry import query, table
 
@@ -86,15 +87,5 @@ def near_duplicate_documents(spark, sf_dir):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def benchmark_overlap(spark, sf_dir):
-    """Documents that hold a benchmark passage whole: a join on three words inside the passage, then a comparison.
-    Its first and last word may touch other characters in a text, so the key leaves them out; a passage with fewer
-    words inside is compared with every text."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", r"\s+").alias("p"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    long = b.filter(F.size("p") >= 5).select("item_id", "passage", F.array_join(F.slice("p", 2, 3), " ").alias("k"))
-    short = b.filter(F.size("p") < 5).select("item_id", "passage")
-    w = F.col("w")
-    runs = d.withColumn("w", F.split("text", r"\s+")).select("doc_id", "text", F.explode(F.array_distinct(F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))))).alias("k"))
-    holds = F.col("text").contains(F.col("passage"))
-    # a passage has one key and a text each key once, so no pair comes twice
-    return runs.join(long, "k").filter(holds).select("item_id", "doc_id").unionByName(d.join(short, holds).select("item_id", "doc_id"))
+    """Documents that hold a benchmark passage whole."""
+    return contained(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ import duckdb
 
 from crawlwright import catalog
 
-PASSAGES = ["What is the capital of the far land?", "one two\nthree four five six", "one  two three\tfour five six", "two words", "word", "", None, " a b c d ", "no text has these five words", "word"]
+PASSAGES = ["What is the capital of the far land?", "one two\nthree four five six", "one  two three\tfour five six", "two words", "word", "", None, " a b c d ", "no text has these five words", "word", "é😀", "x a", "zz"]
 TEXTS = [
     "He asked: \"What is the capital of the far land?\" twice",
     "Q:What is the capital of the far land?A",
@@ -16,6 +16,8 @@ TEXTS = [
     None,
     "word",
     "What is the capital of the far land? What is the capital of the far land?",
+    "café😀!",
+    "word",
 ]
 
 
