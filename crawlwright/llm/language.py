@@ -15,8 +15,8 @@ from crawlwright.llm import words as w
 from crawlwright.llm.common import SLICE_BYTES, bounded
 from crawlwright.llm.held import trim
 
-#: The bounds of the training sample: rows of a language, languages, pieces of a text and words of a piece.
-ROWS, LANGUAGES, PIECES, PIECE_WORDS = 1500, 1024, 2, 60
+#: The bounds of the training sample: rows of a language, languages, pieces of a text, words and characters of a piece.
+ROWS, LANGUAGES, PIECES, PIECE_WORDS, PIECE_CHARS = 1500, 1024, 2, 60, 1200
 #: Buckets that subwords are hashed to, and the embeddings' size.
 BUCKETS, SIZE = 1 << 15, 16
 UNKNOWN = "und"
@@ -140,11 +140,21 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = 6,
     return model
 
 
+def _within(run: str, rng: np.random.Generator) -> str:
+    """A run of words, or of one with very long words PIECE_CHARS characters from a place that rng gives."""
+    over = len(run) - PIECE_CHARS
+    if over <= 0:
+        return run
+    at = int(rng.integers(0, over + 1))
+    return run[at : at + PIECE_CHARS]
+
+
 def fit(docs: DataFrame, learn: Column) -> Model | None:
     """A model from the rows of docs that `learn` picks and whose lang and text are given; None if there are none.
 
-    The sample has about ROWS rows of a language at most, picked by a hash of the text. Of a text with over PIECE_WORDS
-    words PIECES runs of that length are taken, at places that the hash gives. No language is left out; more than
+    The sample has about ROWS different texts of a language at most, picked by a hash of the text; a text that many rows have counts once. Of a text with over PIECE_WORDS
+    words PIECES runs of that length are taken, at places that the hash gives, and of a run of more than PIECE_CHARS characters so many: the
+    driver gets a bounded number of bytes. No language is left out; more than
     LANGUAGES labels are an error, since the classifier's size grows with them.
     """
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
@@ -154,19 +164,20 @@ def fit(docs: DataFrame, learn: Column) -> Model | None:
     if len(counts) > LANGUAGES:
         raise ValueError(f"lang has more than {LANGUAGES} values; a classifier for so many doesn't fit into memory")
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, ROWS / r["count"])))])
-    sample = rows.filter(F.pmod(F.col("h"), F.lit(1_000_003)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)) * 1_000_003)
+    sample = rows.filter(F.pmod(F.col("h"), F.lit(1_000_003)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)) * 1_000_003).dropDuplicates(["lang", "h"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for lang, text, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = text.split()
+                parts, rng = text.split(), np.random.default_rng(h & 0xFFFFFFFF)
                 if len(parts) <= PIECE_WORDS:
-                    out.append((lang, text, h))
+                    runs = [text]
                 else:
-                    starts = np.random.default_rng(h & 0xFFFFFFFF).integers(0, len(parts) - PIECE_WORDS + 1, PIECES)
+                    starts = rng.integers(0, len(parts) - PIECE_WORDS + 1, PIECES)
                     # a shorter run, too: short texts are to be told apart as well
-                    out += [(lang, " ".join(parts[s : s + PIECE_WORDS // (1 + 4 * (i % 2))]), h) for i, s in enumerate(starts)]
+                    runs = [" ".join(parts[s : s + PIECE_WORDS // (1 + 4 * (i % 2))]) for i, s in enumerate(starts)]
+                out += [(lang, _within(r, rng), h) for r in runs]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "piece", "h"), x, strict=True)) for x in out], pa.schema([("lang", pa.string()), ("piece", pa.string()), ("h", pa.int64())]))
 
     # no limit follows the Python stage: a task that ends early may free batches that are still being written

@@ -120,3 +120,15 @@ def test_gradients(net, monkeypatch):
             down = loss()
             flat[i] = old
             assert abs((up - down) / 4e-2) == pytest.approx(math.sqrt(squares[i]), rel=0.08, abs=2e-4)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """A text that most rows have counts once, and long words don't make long pieces."""
+    monkeypatch.setattr(language, "ROWS", 40)
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, labels, **k: seen.append((texts, labels)))
+    rows = [(f"ein Satz {n} " + "wort" * (n * 400), "de") for n in range(200)] + [("one text in most rows", "en")] * 3000 + [("an other one", "en")] * 20
+    language.fit(spark.createDataFrame(rows, "text string, lang string").repartition(5), F.lit(True))
+    texts, labels = seen[0]
+    assert labels.count("en") <= 2 and 10 < labels.count("de") < 90
+    assert max(map(len, texts)) <= language.PIECE_CHARS
