@@ -96,13 +96,36 @@ def sorted_key(url: Column) -> Column:
 
 def _web(url: Column) -> Column:
     """url with https:// before it unless it has http or https."""
-    bare = F.trim(F.coalesce(url, F.lit("")))
+    bare = F.translate(F.trim(F.coalesce(url, F.lit(""))), "\t\n\r", "")
     return F.when(bare.rlike("(?i)^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare))
 
 
+def _escaped(part: Column, marks: str) -> Column:
+    """part with blanks, control characters, marks and what isn't ASCII percent-encoded; what is encoded already stays."""
+    odd = rf"""[\x00-\x20\x7f{marks}]|[^\x00-\x7f]"""
+    one = lambda c: F.when(c.rlike(odd), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    return F.when(part.rlike(odd), F.array_join(F.transform(F.regexp_extract_all(part, F.lit("(?s)."), 0), one), "")).otherwise(part)
+
+
+def _dotless(p: Column) -> Column:
+    """A path whose dot segments are resolved, as browsers do it: a closing one leaves a slash, and none leads above the root."""
+    dot, up = r"(?i)^(\.|%2e)$", r"(?i)^(\.|%2e){2}$"
+
+    def step(done: Column, s: Column) -> Column:
+        back = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(s.rlike(up), back).when(s.rlike(dot), done).otherwise(F.concat(done, F.array(s)))
+
+    parts = F.slice(F.split(p, "/"), 2, 1 << 20)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    closed = F.when(F.element_at(parts, -1).rlike(dot) | F.element_at(parts, -1).rlike(up), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(p.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(p)
+
+
 def _tidy(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, a path, no fragment."""
-    return F.concat(origin(url), path(url), search(url))
+    """Scheme and host in lower case, no default port, a path without dot segments, odd characters percent-encoded, no fragment. Hosts
+    stay as they are but for their case: names with other letters than ASCII aren't turned into punycode."""
+    p = _escaped(_dotless(F.translate(path(url), "\\", "/")), '"#<>?`{}^')
+    return F.concat(origin(url), p, _escaped(search(url), "\"#<>'"))
 
 
 _HOST = r"(?i)^https?://(\[[0-9a-f:.]+\]|[^/?#@\s:\[\]]+)(:\d*)?([/?#]|$)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlwright.functions import urls as u
 from crawlwright.operators.crawl import crawl
 from crawlwright.plans import facts as f
 from crawlwright.queries import pages as p
@@ -100,3 +101,12 @@ def sitemap_inventory(spark, sf_dir):
 @query(_SITEMAPS_SQL + "SELECT site, CAST(i AS BIGINT) AS place, urls[i] AS url FROM (SELECT *, unnest(range(1, len(urls) + 1)) AS i FROM ends)")
 def sitemap_addresses(spark, sf_dir):
     return _inventory(spark, sf_dir).urls.select("site", F.col("place").cast("long"), "url")
+
+
+@query(p.FACTS_SQL + r""", l AS (SELECT page_id, origin, unnest(links) AS href FROM facts), w AS (SELECT page_id, origin, href, regexp_extract(href, '^[a-z]+://[^/]+/(.*)$', 1) AS word FROM l)
+SELECT DISTINCT page_id, href, origin || '/' || array_to_string([CASE WHEN regexp_matches(c, '[\x21-\x7e]') THEN c ELSE url_encode(c) END FOR c IN string_split(word, '')], '') || '%20x/' AS address FROM w""")
+def link_addresses(spark, sf_dir):
+    """Pages' links with dot segments and blanks put into them, in their usual form."""
+    rows = f.facts(table(spark, sf_dir, "pages")).select("page_id", "origin", F.explode("links").alias("href")).distinct()
+    word = F.regexp_extract("href", "^[a-z]+://[^/]+/(.*)$", 1)
+    return rows.select("page_id", "href", u.normalize_url(F.concat("origin", F.lit("/a/./b/../../%2E/"), word, F.lit(" x/y/.."))).alias("address"))

@@ -124,3 +124,24 @@ def test_upserts_and_transitions(spark):
     v = spark.createDataFrame([("i", 1, "draft"), ("i", 2, "approved"), ("i", 3, "done"), ("i", 4, "verified")], "k string, n long, st string")
     may_follow = {"draft": ["approved"], "approved": ["executing"], "executing": ["done"], "done": ["verified"]}
     assert [r.st for r in folds.invalid_transitions(v, "k", "n", "st", may_follow).collect()] == ["done"]
+
+
+@pytest.mark.parametrize(
+    "url, want",
+    [
+        ("https://e.com/a/../b", "https://e.com/b"),
+        ("https://e.com/a b", "https://e.com/a%20b"),
+        ("https://e.com/a/./b/..", "https://e.com/a/"),
+        ("https://e.com/../../x/.", "https://e.com/x/"),
+        ("https://e.com/a/%2E%2e/b", "https://e.com/b"),
+        ("https://e.com/für/日?q=ä 'x'#z", "https://e.com/f%C3%BCr/%E6%97%A5?q=%C3%A4%20%27x%27"),
+        ("https://e.com/a%20b/{x}", "https://e.com/a%20b/%7Bx%7D"),
+        ("https://e.com/a...b/.c/..d", "https://e.com/a...b/.c/..d"),
+        ("https://e.com/x\\n/a\tb", "https://e.com/x/n/ab"),
+        ("https://e.com//a//", "https://e.com//a//"),
+        ("https://e.com/a+b?c+d", "https://e.com/a+b?c+d"),
+    ],
+)
+def test_normalized_paths(spark, url, want):
+    assert one(spark, u.normalize_url, url) == want
+    assert one(spark, u.http_url, url) == want
