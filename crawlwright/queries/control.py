@@ -27,11 +27,11 @@ s(site, i, ts, down, fails, first, told, said, since) AS (
         CASE WHEN NOT e.fail THEN 0 WHEN e.ts > s.ts + INTERVAL 20 HOUR THEN 1 ELSE s.fails + 1 END AS now_fails,
         CASE WHEN NOT e.fail THEN NULL WHEN e.ts > s.ts + INTERVAL 20 HOUR THEN e.ts ELSE coalesce(s.first, e.ts) END AS now_first
       FROM s JOIN e ON e.site = s.site AND e.i = s.i + 1))))
-SELECT site, said AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since, fails FROM s WHERE said IS NOT NULL""")
+SELECT site, said AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS told_at, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since, fails FROM s WHERE said IS NOT NULL""")
 def uptime_alerts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("site"), F.col("ts").alias("at"), "event_id", "event_type")
     out = control.outage_alerts(e, "site", "at", "event_id", F.col("event_type").isin("error", "click"), F.col("event_id") % 3 != 0, 2, "INTERVAL 20 HOURS")
-    return out.select("site", "kind", _shown("at"), _shown("since"), "fails")
+    return out.select("site", "kind", _shown("at").alias("told_at"), _shown("since"), "fails")
 
 
 @query("""WITH r AS (SELECT event_id, ts, user_id % 60 AS session, user_id % 7 AS ip, event_type AS target, date_trunc('hour', ts) AS hour, date_trunc('day', ts) AS day FROM events),
