@@ -13,13 +13,13 @@ BATCH, SHOWN, PUBLIC, ENTERPRISE = 1000, 5, 50_000, 100_000
 
 def inventory(listed: DataFrame, pages: DataFrame, by: str) -> DataFrame:
     """(by, discovered, covered, scanned, coverage, uncrawled, off_host) of each site's listed addresses (by, loc) and rendered pages (by, url).
-    A site is named by its host; addresses of other hosts are counted apart."""
+    A site is named by its host; addresses of other hosts are counted apart. Addresses that differ by a fragment or a trailing slash are one."""
     rows = listed.withColumn("_u", u.http_url(F.col("loc")))
     mine = (F.col("_u") != "") & (u.site(F.col("_u")) == F.col(by))
-    own = rows.filter(mine).select(by, "_u").distinct()
+    own = rows.filter(mine).select(by, u.strip_hash(F.col("_u")).alias("_k")).distinct()
     off = rows.filter(~mine).groupBy(by).agg(F.count("*").alias("off_host"))
     seen = pages.select(by, u.strip_hash(F.col("url")).alias("_k")).distinct().withColumn("_s", F.lit(1))
-    found = own.withColumn("_k", u.strip_hash(F.col("_u"))).join(seen, [by, "_k"], "left").groupBy(by).agg(F.count("*").alias("discovered"), F.count("_s").alias("covered"))
+    found = own.join(seen, [by, "_k"], "left").groupBy(by).agg(F.count("*").alias("discovered"), F.count("_s").alias("covered"))
     scanned = pages.groupBy(by).agg(F.count("*").alias("scanned"))
     out = scanned.join(found, by, "full").join(off, by, "full").fillna(0, ["discovered", "covered", "scanned", "off_host"])
     share = F.when(F.col("discovered") > 0, F.floor(F.col("covered") * 100.0 / F.col("discovered") + 0.5)).otherwise(0)

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from crawlwright.operators import inventory as coverage
 from crawlwright.sources.inventory import inventory
 
 
@@ -75,3 +76,10 @@ def test_inventory(spark, max_files, max_urls):
 def test_inventory_of_nothing(spark):
     got = inventory(spark, spark.createDataFrame([], "site long, start string, place int, url string"), spark.createDataFrame([], "url string, ok boolean, status int, xml string"))
     assert got.sites.count() == got.urls.count() == got.files.count() == got.warnings.count() == 0
+
+
+def test_addresses_that_differ_by_a_slash_are_one(spark):
+    listed = spark.createDataFrame([("x.com", "https://x.com/a"), ("x.com", "https://x.com/a/"), ("x.com", "https://x.com/a#b"), ("x.com", "https://y.com/")], "host string, loc string")
+    pages = spark.createDataFrame([("x.com", "https://x.com/a/")], "host string, url string")
+    got = coverage.inventory(listed, pages, "host").first()
+    assert (got.discovered, got.covered, got.uncrawled, got.off_host) == (1, 1, 0, 1)
