@@ -74,9 +74,10 @@ def leases(spark: SparkSession, events: DataFrame, minutes: int) -> DataFrame:
     beats = e.filter("kind = 'beat'").withColumn("gap", F.coalesce(F.col("at") >= F.lag("at").over(own) + length, F.lit(True)))
     beats = beats.withColumn("chain", F.sum(F.col("gap").cast("int")).over(own))
     beats = beats.withColumn("held", F.max("at").over(W.partitionBy("batch", "worker", "chain")) + length).select("seq", "held")
-    later = own.rowsBetween(1, W.unboundedFollowing)
-    beat = F.first(F.when(F.col("kind") == "beat", F.struct("at", "held")), True).over(later)
-    done = F.first(F.when(F.col("kind") == "done", F.struct("at", "seq")), True).over(later)
+    # what comes next is looked for from the end: a frame that ends with its row grows by a row a step, one that begins there is read anew for each row
+    later = W.partitionBy("batch", "worker").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    beat = F.last(F.when(F.col("kind") == "beat", F.struct("at", "held")), True).over(later)
+    done = F.last(F.when(F.col("kind") == "done", F.struct("at", "seq")), True).over(later)
     claims = e.join(beats, "seq", "left").withColumns({"beat": beat, "done": done}).filter("kind = 'claim'")
     until = F.when(F.col("beat.at") < F.col("at") + length, F.col("beat.held")).otherwise(F.col("at") + length)
     claims = claims.withColumn("until", until).withColumn("over", F.coalesce(F.col("done.at") < F.col("until"), F.lit(False)))
@@ -85,8 +86,8 @@ def leases(spark: SparkSession, events: DataFrame, minutes: int) -> DataFrame:
     # the first claim after a lease: ends and claims in one line; an expiry comes before the claims of its time, the end of a worker that is done at its own place
     side, place = F.when(F.col("over"), F.lit(1)).otherwise(F.lit(0)).alias("side"), F.when(F.col("over"), F.col("done")).otherwise(F.col("seq")).alias("place")
     line = claims.select("batch", F.col("until").alias("t"), side, place, "seq", F.lit(True).alias("end")).unionByName(claims.select("batch", F.col("at").alias("t"), F.lit(1).alias("side"), F.col("seq").alias("place"), "seq", F.lit(False).alias("end")))
-    following = W.partitionBy("batch").orderBy("t", "side", "place").rowsBetween(1, W.unboundedFollowing)
-    jump = line.withColumn("next", F.first(F.when(~F.col("end"), F.col("seq")), True).over(following)).filter("end and next is not null").select("seq", "next")
+    following = W.partitionBy("batch").orderBy(F.desc("t"), F.desc("side"), F.desc("place")).rowsBetween(W.unboundedPreceding, -1)
+    jump = line.withColumn("next", F.last(F.when(~F.col("end"), F.col("seq")), True).over(following)).filter("end and next is not null").select("seq", "next")
     jumps = [save(jump, "leases-next")]
     most = claims.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
     while 1 << len(jumps) < most:
