@@ -47,7 +47,7 @@ def cells(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     def split(rows: DataFrame, sep: str) -> DataFrame:
         """Each line is parsed once, the first one once a text."""
         parsed = lambda rows, line: rows.withColumn("_c", F.from_csv(line, schema, {"sep": sep, "quote": '"', "escape": '"'}))
-        row = F.array(*[F.trim(F.coalesce(F.col(f"_c.c{i}"), F.lit(""))) for i in range(WIDTH)])
+        row = F.transform(F.array(*[F.col(f"_c.c{i}") for i in range(WIDTH)]), lambda x: F.trim(F.coalesce(x, F.lit(""))))
         names = F.transform(row, lambda x, i: F.concat(F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), F.when(x == "", F.concat(F.lit("#"), i.cast("string"))).otherwise("")))
         headed = parsed(rows, F.get("_l", F.lit(0))).select(by, "_l", names.alias("_h"))
         headed = headed.withColumn("_h", F.transform("_h", lambda x, i: F.when(F.array_position("_h", x) == i + 1, x).otherwise(F.concat(x, F.lit("#"), i.cast("string")))))
@@ -59,9 +59,15 @@ def cells(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     return save(split(lines.filter(tabbed), "\t").unionByName(split(lines.filter(~tabbed), ",")), "cells")
 
 
-def _named(columns: dict[str, list[str]]) -> dict[str, Column]:
-    """Each column by the first of its names that has a value."""
-    return {k: F.coalesce(*[F.nullif(F.try_element_at("cells", F.lit(n)), F.lit("")) for n in names], F.lit("")) for k, names in columns.items()}
+def _named(rows: DataFrame, columns: dict[str, list[str]], *others: Column | str) -> DataFrame:
+    """rows' others and each column by the first of its names that has a value. All are looked up by one expression: one for each name makes a
+    function so long that the JVM doesn't compile it."""
+    names = F.array(*[F.array(*map(F.lit, n)) for n in columns.values()])
+    value = lambda n: F.try_element_at("cells", n)
+    first = lambda some: F.coalesce(F.get(F.filter(F.transform(some, value), lambda x: x != ""), F.lit(0)), F.lit(""))
+    found = rows.select(*others, F.transform(names, first).alias("_v"))
+    kept = [c for c in found.columns if c != "_v"]
+    return found.select(*kept, *[F.get("_v", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def _first(rows: DataFrame, by: str, key: list[str], most: int) -> DataFrame:
@@ -92,8 +98,9 @@ def rate(c: Column, clicks: Column, impressions: Column, shares: Column) -> Colu
 def keywords(rows: DataFrame, by: str, most: int = KEYWORD_ROWS) -> DataFrame:
     """(by, nth, query, query_key, page_url, clicks ... previous_position) from cells(): rows with a query, the first of each query
     and page. Whether rates are shares is decided for each import by itself."""
-    raw = rows.select(by, "pos", *[c.alias(k) for k, c in _named(KEYWORD_COLUMNS).items()])
-    raw = raw.withColumn("query", t.clean(F.col("query"), 180)).filter("query <> ''")
+    raw = _named(rows, KEYWORD_COLUMNS, by, "pos")
+    # written, as it is read twice, and as the filter would otherwise look the columns up once more
+    raw = save(raw.withColumn("query", t.clean(F.col("query"), 180)), "named").filter("query <> ''")
     flags = raw.groupBy(by).agg(F.max(fractional(F.col("ctr")) | fractional(F.col("previous_ctr"))).alias("_shares"))
     out = raw.withColumns({"page_url": u.http_url(F.col("page_url")), "query_key": F.substring(t.search_text(F.col("query")), 1, 180)})
     out = _first(out, by, ["query_key", "page_url"], most).join(flags, by)
@@ -105,15 +112,14 @@ def keywords(rows: DataFrame, by: str, most: int = KEYWORD_ROWS) -> DataFrame:
 def backlinks(rows: DataFrame, by: str, home: Column, most: int = BACKLINK_ROWS) -> DataFrame:
     """(by, nth, source_url, target_url, anchor_text, status_hint, first_seen, last_seen): rows with a source, once for each source and
     target; a row without a target points at `home`."""
-    named = _named(BACKLINK_COLUMNS)
-    raw = rows.select(by, "pos", home.alias("_home"), *[c.alias(k) for k, c in named.items()])
+    raw = _named(rows, BACKLINK_COLUMNS, by, "pos", home.alias("_home"))
     raw = raw.withColumns({"source_url": u.http_url(F.col("source_url")), "target_url": u.http_url(F.when(F.col("target_url") == "", F.col("_home")).otherwise(F.col("target_url"))), "anchor_text": t.clean(F.col("anchor_text"), 160)})
     return _first(raw.filter("source_url <> '' and target_url <> ''").drop("_home"), by, ["source_url", "target_url"], most)
 
 
 def citations(rows: DataFrame, by: str, most: int = CITATION_ROWS) -> DataFrame:
     """(by, nth, source_url, name, phone, address): rows with a source, once for each source."""
-    raw = rows.select(by, "pos", *[c.alias(k) for k, c in _named(CITATION_COLUMNS).items()])
+    raw = _named(rows, CITATION_COLUMNS, by, "pos")
     raw = raw.withColumn("source_url", u.http_url(F.col("source_url"))).filter("source_url <> ''")
     return _first(raw, by, ["source_url"], most)
 
