@@ -63,14 +63,16 @@ def regressions(deltas: DataFrame, monitored: DataFrame, by: str) -> DataFrame:
 def proof_url(url: Column) -> Column:
     """The address that pages of a proof are matched by: site and path, without query and the path's last slash; a text that isn't one in lower case."""
     trimmed = F.trim(F.coalesce(url, F.lit("")))
-    path = F.regexp_replace(u.path(trimmed), "/$", "")
-    return F.when(u.site(trimmed) != "", F.concat(u.site(trimmed), F.when(path == "", F.lit("/")).otherwise(path))).otherwise(t.lower_squeezed(trimmed))
+    or_null = lambda x: F.nullif(x, F.lit(""))
+    path = F.coalesce(or_null(F.regexp_replace(u.part(trimmed, 3), "/$", "")), F.lit("/"))
+    return F.coalesce(F.concat(or_null(u.site(trimmed)), path), t.lower_squeezed(trimmed))
 
 
-def proof_key() -> Column:
-    """How an issue is recognised in a proof: type, title, page and source; empty without a title."""
-    title = t.lower_squeezed(F.col("title"))
-    return F.when(title == "", F.lit("")).otherwise(F.concat_ws("|", t.lower_squeezed(F.col("type")), title, proof_url(F.col("page_url")), t.lower_squeezed(F.col("source"))))
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """rows with _page, _id and _key, how an issue is recognised in a proof: type, title, page and source; empty without a title. Each is made once a row."""
+    rows = rows.withColumns({"_page": proof_url(F.col("page_url")), "_title": t.lower_squeezed(F.col("title")), "_id": F.trim(F.coalesce("id", F.lit("")))})
+    key = F.concat_ws("|", t.lower_squeezed(F.col("type")), "_title", "_page", t.lower_squeezed(F.col("source")))
+    return rows.withColumn("_key", F.when(F.col("_title") == "", F.lit("")).otherwise(key)).drop("_title")
 
 
 def proved(actions: DataFrame, issues: DataFrame, pages: DataFrame) -> DataFrame:
@@ -85,14 +87,13 @@ def proved(actions: DataFrame, issues: DataFrame, pages: DataFrame) -> DataFrame
     mark, and one grouping by action, whatever the stages. An action without a proof is not proved; repeated actions are one row.
     """
     mark = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    key, id_ = proof_key(), F.trim(F.coalesce("id", F.lit("")))
+    key, id_, page = F.col("_key"), F.col("_id"), F.col("_page")
     has = lambda c: c != ""
     offers = F.array_compact(F.array(F.when(has(key), mark("key", key)), F.when(has(id_), mark("id", id_)), F.when(has(id_) & ~has(key), mark("bare id", id_))))
-    have = issues.select("proof", "origin", F.explode(offers).alias("m")).unionByName(pages.select("proof", F.lit("page").alias("origin"), mark("page", proof_url(F.col("url"))).alias("m")))
+    have = _with_keys(issues).select("proof", "origin", F.explode(offers).alias("m")).unionByName(pages.select("proof", F.lit("page").alias("origin"), mark("page", proof_url(F.col("url"))).alias("m")))
     have = have.groupBy("proof", "m").agg(*[F.max(F.col("origin") == o).alias(o) for o in ("current", "fixed", "page")])
-    page = proof_url(F.col("page_url"))
     seeks = F.array_compact(F.array(F.when(has(key), mark("key", key)), F.when(has(id_), F.when(has(key), mark("bare id", id_)).otherwise(mark("id", id_))), F.when(has(page), mark("page", page)), mark("none", F.lit(""))))
-    asked = actions.withColumn("_free", ~has(page)).select("action", "proof", F.lower(F.trim(F.coalesce("state", F.lit("")))).alias("state"), "_free", F.explode(seeks).alias("m")).distinct()
+    asked = _with_keys(actions).select("action", "proof", F.lower(F.trim(F.coalesce("state", F.lit("")))).alias("state"), (~has(page)).alias("_free"), F.explode(seeks).alias("m"))
     kind = F.col("m.kind")
     hit = lambda o, by_key: F.max(F.coalesce(F.col(o) & ((kind == "key") if by_key else kind.isin("id", "bare id")), F.lit(False)))
     found = asked.join(have, ["proof", "m"], "left").groupBy("action", "proof", "state").agg(
