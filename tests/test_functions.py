@@ -1,9 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from crawlwright.functions import text as t
 from crawlwright.functions import urls as u
-from crawlwright.operators import folds, tables
+from crawlwright.operators import folds, history, tables
 from crawlwright.plans import facts, rules, score
 from crawlwright.sources import robots
 
@@ -145,3 +147,23 @@ def test_upserts_and_transitions(spark):
 def test_normalized_paths(spark, url, want):
     assert one(spark, u.normalize_url, url) == want
     assert one(spark, u.http_url, url) == want
+
+
+def test_description_of_a_text_without_marks(spark):
+    """Sentences are looked for from where one may begin, not from each character."""
+    text = spark.range(1).select(F.repeat(F.lit("word "), 40_000).alias("s"))
+    began = time.monotonic()
+    assert text.select(t.suggested_description(F.col("s")).alias("d")).first().d == "word " * 29 + "word…"
+    assert time.monotonic() - began < 30
+    some = spark.createDataFrame([("One. Two x.y three! " + "z" * 200,)], "s string")
+    assert some.select(t.suggested_description(F.col("s"), enough=10).alias("d")).first().d == "One. y three!"
+
+
+def test_address_is_looked_up_once(spark):
+    """Most addresses are in their usual form; odd ones take the whole way. Parts of an address aren't taken apart once more for each use."""
+    plain = lambda c: spark.createDataFrame([], "url string").select(c)._jdf.queryExecution().optimizedPlan().toString()
+    cases = {"x.com": "https://x.com/", "http://x.com/a/..b?c=/../d": "http://x.com/a/..b?c=/../d", "https://x.com/a/../b": "https://x.com/b", "https://x.com/%2E/b": "https://x.com/b", "x.com\n": "https://x.com/", "HTTPS://X.com:443/a b": "https://x.com/a%20b", "": ""}
+    got = spark.createDataFrame([(k,) for k in cases], "url string").select("url", u.http_url(F.col("url")).alias("x")).collect()
+    assert {r.url: r.x for r in got} == cases
+    assert plain(u.site(F.col("url"))).count("regexp_replace") == 1
+    assert plain(history.proof_url(F.col("url"))).count("www") == 1
