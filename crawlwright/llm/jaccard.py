@@ -234,6 +234,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         same = [t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for t in (edges, after)]
         forget(spark, edges)
         edges = after
+        collect_garbage(spark)
         if same[0] == same[1]:
             break
     ids = edges.groupBy("u").agg(F.min("v").alias("component"))
@@ -397,20 +398,24 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
     forget(spark, groups)
     x, y = F.col("xn"), F.col("yn")
     enough = F.least(_length(x, num, den) - (x - _need(x, y, num, den)), _length(y, num, den) - (y - _need(x, y, num, den)))
+    collect_garbage(spark)
     met = save(spark, _candidates(bucket, _wide(bucket), enough, num, den), "jaccard-met")
     many = save(spark, bucket.filter(F.col("size") > SMALL), "jaccard-many")
     forget(spark, bucket)
     collect_garbage(spark)
     # within groups: second prefixes
     own = save(spark, _buckets(_second(docs, crowd, size, num, den, frequent)), "jaccard-own")
+    collect_garbage(spark)
     met_own = _candidates(own, _wide(own), F.col("enough"), num, den)
 
-    sized = _sized(met, apart.select("gid", "m"))
+    sized = save(spark, _sized(met, apart.select("gid", "m")), "jaccard-sized")
+    forget(spark, met)
     first = save(spark, _expanded(sized, crowd).unionByName(met_own).distinct(), "jaccard-pairs")
     collect_garbage(spark)
     marks = members.select("id", "a", "b")
     wanted = first.select(F.col("x").alias("id")).unionByName(first.select(F.col("y").alias("id"))).distinct()
     sets = save(spark, _sets(docs, wanted, marks, size), "jaccard-sets")
+    collect_garbage(spark)
     links = save(spark, _verified(first, sets, num, den), "jaccard-links")
     found = components(spark, links)
     collect_garbage(spark)
@@ -419,10 +424,22 @@ def _linked(spark: SparkSession, docs: DataFrame, size: int, num: int, den: int)
     single = found.select(F.col("id").alias("v"), F.col("component").alias("lo"), F.col("component").alias("hi"), F.col("component").alias("own"))
     several = crowd.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).groupBy("gid").agg(F.min("c").alias("glo"), F.max("c").alias("ghi"))
     grouped = single.join(several.withColumnRenamed("gid", "v"), "v", "full").select("v", F.coalesce("glo", "lo").alias("lo"), F.coalesce("ghi", "hi").alias("hi"), F.coalesce("own", "v").alias("own"))
-    late = _unresolved(many, grouped, num, den).join(met, ["x", "y"], "left_anti")
-    late = late.unionByName(sized.filter(F.col("mx") * F.col("my") > SMALL * SMALL).select("x", "y"))
-    rest = _expanded_apart(late, crowd, found).unionByName(_counted(_unresolved(own.filter(F.col("size") > SMALL), single, num, den), own))
+    # written step by step: as one plan these joins, each with its broadcasts, are more than the driver should hold
+    label = save(spark, grouped, "jaccard-label")
+    late = save(spark, _unresolved(many, label, num, den).join(sized, ["x", "y"], "left_anti"), "jaccard-late")
+    forget(spark, label, many)
+    collect_garbage(spark)
+    large = sized.filter(F.col("mx") * F.col("my") > SMALL * SMALL).select("x", "y")
+    late = late.unionByName(save(spark, large, "jaccard-large"))
+    between = save(spark, _expanded_apart(late, crowd, found), "jaccard-between")
+    forget(spark, late)
+    collect_garbage(spark)
+    inside = save(spark, _unresolved(own.filter(F.col("size") > SMALL), single, num, den), "jaccard-inside")
+    collect_garbage(spark)
+    rest = between.unionByName(_counted(inside, own))
     second = save(spark, rest.distinct().join(first, ["x", "y"], "left_anti"), "jaccard-pairs")
+    forget(spark, between, inside)
+    collect_garbage(spark)
     if not second.isEmpty():
         have = sets.select("id").distinct()
         wanted = second.select(F.col("x").alias("id")).unionByName(second.select(F.col("y").alias("id"))).distinct().join(have, "id", "left_anti")

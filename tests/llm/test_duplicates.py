@@ -172,3 +172,14 @@ def test_large_pairs_of_groups_go_around_their_first_members(spark, small, monke
     rows = family(60, random.Random(4), pool=11, sizes=3)
     got = jaccard.linked(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 5, 80, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 5, 80, 100)
+
+
+def test_no_step_of_the_join_is_one_large_plan(spark, monkeypatch):
+    """Each plan and its broadcasts lie in the driver's memory."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(n, " ".join(w if i != n % 59 else f"x{n}" for i, w in enumerate(words))) for n in range(40)]
+    plans, save = [], jaccard.save
+    monkeypatch.setattr(jaccard, "save", lambda spark, df, label: plans.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), label)) or save(spark, df, label))
+    found = jaccard.linked(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 5, 70, 100)
+    assert found.count() == 40
+    assert max(plans)[0] <= 16, sorted(plans)[-3:]
