@@ -161,7 +161,7 @@ def test_description_of_a_text_without_marks(spark):
 
 def test_address_is_looked_up_once(spark):
     """Most addresses are in their usual form; odd ones take the whole way. Parts of an address aren't taken apart once more for each use."""
-    plain = lambda c: spark.createDataFrame([], "url string").select(c)._jdf.queryExecution().optimizedPlan().toString()
+    plain = lambda c: spark.createDataFrame([], "url string").select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     cases = {"x.com": "https://x.com/", "http://x.com/a/..b?c=/../d": "http://x.com/a/..b?c=/../d", "https://x.com/a/../b": "https://x.com/b", "https://x.com/%2E/b": "https://x.com/b", "x.com\n": "https://x.com/", "HTTPS://X.com:443/a b": "https://x.com/a%20b", "": ""}
     got = spark.createDataFrame([(k,) for k in cases], "url string").select("url", u.http_url(F.col("url")).alias("x")).collect()
     assert {r.url: r.x for r in got} == cases
