@@ -54,13 +54,14 @@ def selected_repair(items: DataFrame, requests: DataFrame, by: str) -> DataFrame
 
     A request names a queue item, an issue, or both, which then must be one item; without names it is the first active one. An item that
     is fixed or ignored, or has no id, isn't active. A name that no active item has is a conflict and selects nothing. Requests
-    without active items select nothing; several of one account count once.
+    without active items select nothing; several of one account count once. Of items in one place the least queue_id, issue_id and title counts;
+    place may be a struct, where more than a number decides.
     """
     active = items.filter("coalesce(queue_id, '') <> '' and not coalesce(lower(trim(status)), '') in ('fixed', 'ignored')")
     asked = requests.groupBy(by).agg(F.coalesce(F.max("queue_id"), F.lit("")).alias("_q"), F.coalesce(F.max("issue_id"), F.lit("")).alias("_i"))
     met = asked.join(active.select(by, "place", "queue_id", "issue_id", "title"), by, "left")
     fits = ((F.col("_q") == "") | (F.col("queue_id") == F.col("_q"))) & ((F.col("_i") == "") | (F.col("issue_id") == F.col("_i"))) & F.col("queue_id").isNotNull()
-    found = met.groupBy(by, "_q", "_i").agg(F.min_by(F.when(fits, F.struct("queue_id", "issue_id", "title")), F.when(fits, F.struct("place", "queue_id"))).alias("s"))
+    found = met.groupBy(by, "_q", "_i").agg(F.min_by(F.when(fits, F.struct("queue_id", "issue_id", "title")), F.when(fits, F.struct("place", "queue_id", "issue_id", "title"))).alias("s"))
     named = (F.col("_q") != "") | (F.col("_i") != "")
     return found.select(by, "s.queue_id", "s.issue_id", "s.title", (named & F.col("s").isNull()).alias("conflict"))
 

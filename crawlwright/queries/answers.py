@@ -29,7 +29,8 @@ SELECT r.k AS account, s.q AS queue_id, s.i AS issue_id, s.t AS title, (rq <> ''
 def fix_pack_selection(spark, sf_dir):
     text = lambda x, c: F.concat(F.lit(x), c.cast("string"))
     n, part, k = F.col("l_linenumber"), F.col("l_partkey"), F.col("o_custkey") % 4
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("account"), n.alias("place"), F.when((n % 6 == 1) & (part % 2 == 0), "").otherwise(text("q", n)).alias("queue_id"), text("i", part % 4).alias("issue_id"), text("part ", part).alias("title"), F.expr(_ITEMS).alias("status"))
+    place = F.struct(n, "_metadata.file_name", "_metadata.row_index")  # lines of one number come in the table's order, as the SQL meets them on one thread
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("account"), place.alias("place"), F.when((n % 6 == 1) & (part % 2 == 0), "").otherwise(text("q", n)).alias("queue_id"), text("i", part % 4).alias("issue_id"), text("part ", part).alias("title"), F.expr(_ITEMS).alias("status"))
     asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("account"), F.when(k == 1, text("q", F.col("o_custkey") % 7)).when(k == 3, "q2").alias("queue_id"), F.when(k >= 2, text("i", k)).otherwise("").alias("issue_id"))
     return a.selected_repair(items, asked, "account")
 

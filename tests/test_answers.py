@@ -1,8 +1,11 @@
 """Answers of reports, on cases by hand."""
 
+import duckdb
 from pyspark.sql import functions as F
 
+from crawlwright import catalog
 from crawlwright.operators import answers as a
+from crawlwright.queries import answers as q
 
 
 def test_fix_groups(spark):
@@ -38,3 +41,21 @@ def test_blocking_and_status(spark):
     assert tuple(a.service_status(parts(True, True), jobs).first()) == ("operational", "All systems working", 0, "2024-01-01")
     assert tuple(a.service_status(parts(True, None), jobs.limit(0)).first()) == ("degraded", "1 part not working", 1, None)
     assert tuple(a.service_status(parts(False, None), jobs).first())[1:3] == ("2 parts not working", 2)
+
+
+def test_selection_of_one_place(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "q1", "i2", "x", "open"), ("a", 1, "q1", "i1", "z", "open"), ("a", 1, "q1", "i1", "y", "open")], "who string, place int, queue_id string, issue_id string, title string, status string")
+    asked = spark.createDataFrame([("a", None, None)], "who string, queue_id string, issue_id string")
+    for rows in (df.orderBy("title"), df.orderBy(F.desc("title"))):
+        assert tuple(a.selected_repair(rows.coalesce(1), asked, "who").first()) == ("a", "q1", "i1", "y", False)
+    # lines with one number come in the table's order, as the SQL meets them on one thread, though the second file is the larger one and read first
+    con = duckdb.connect()
+    con.sql("set threads = 1")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part, n in enumerate((300, 9000)):
+        con.sql(f"copy (select i % 300 as l_orderkey, 2 as l_linenumber, (i * 7 + {part}) % 999 as l_partkey from range({n}) r(i)) to '{tmp_path}/lineitem.parquet/part-{part}.parquet'")
+    con.sql(f"copy (select i as o_orderkey, i * 4 as o_custkey from range(300) r(i)) to '{tmp_path}/orders.parquet'")
+    con.sql(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.sql(f"create view orders as from '{tmp_path}/orders.parquet'")
+    got = q.fix_pack_selection(spark, str(tmp_path)).select("account", "queue_id", "issue_id", "title", "conflict").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.ORACLE_SQL["fix_pack_selection"]).fetchall())
