@@ -20,22 +20,27 @@ def word_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words"), F.length("text").cast("long").alias("n_chars"), F.floor(n / 238.0 + 0.5).alias("reading_minutes"), F.floor(n / 150.0 + 0.5).alias("speaking_minutes"))
 
 
-def phrases(words, size: int):
-    """All runs of `size` words that neither begin nor end with a stop word and aren't numbers alone."""
-    at = F.sequence(F.lit(0), F.size(words) - size)
-    inner = lambda i: ~F.get(words, i).isin(t.DENSITY_STOP_WORDS) & ~F.get(words, i + size - 1).isin(t.DENSITY_STOP_WORDS)
-    run = F.transform(at, lambda i: F.when(inner(i), F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])))
-    return F.when(F.size(words) >= size, F.filter(run, lambda g: g.isNotNull() & ~g.rlike("^[0-9 ]+$")))
-
-
-def density(docs, by: str, words: str, size: int, top: int = 10):
+def density(docs, by: str, words: str, size: int, top: int = 10, dealt: bool = False):
     """(by, phrase, n, density): the most frequent phrases of each group's texts and what share of its words they make, in percent. Of one
     word all count, longer phrases from two on. The text tool counts each text by itself: by a document's key this is its answer;
-    by a column that texts share it is the same over all of them."""
-    total = docs.groupBy(by).agg(F.sum(F.size(words)).alias("total"))
-    c = docs.select(by, F.explode(phrases(F.col(words), size)).alias("phrase")).groupBy(by, "phrase").agg(F.count("*").alias("n")).filter(F.col("n") > (0 if size == 1 else 1))
-    best = c.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "phrase"))).filter(F.col("nth") <= top)
-    return best.join(total, by).select(by, "phrase", "n", (F.floor(F.col("n") * size * 1000.0 / F.col("total") + 0.5) / 10).alias("density"))
+    by a column that texts share it is the same over all of them. Phrases are runs of `size` words that neither begin nor end with a stop word and aren't numbers alone.
+
+    Words are made once: a text's number of words is counted beside its phrases, under none (place -1). dealt: groups are small, so the words are dealt by
+    group and counted there; else each phrase is counted where it is and then dealt."""
+    rows = docs.select(by, F.col(words).alias("_w"))
+    rows = rows.repartition(by) if dealt else rows
+    w, i = F.col("_w"), F.col("_i")
+    rows = rows.select(by, "_w", F.explode(F.when(F.size(w) >= size, F.sequence(F.lit(-1), F.size(w) - size)).otherwise(F.array(F.lit(-1)))).alias("_i"))
+    at = [F.get(w, i + k) for k in range(size)]
+    numbers = at[0].rlike("^[0-9]+$")
+    for x in at[1:]:
+        numbers = numbers & x.rlike("^[0-9]+$")
+    inner = ~at[0].isin(t.DENSITY_STOP_WORDS) & ((~at[-1].isin(t.DENSITY_STOP_WORDS)) if size > 1 else F.lit(True)) & ~numbers
+    rows = rows.filter((i < 0) | inner).select(by, F.when(i >= 0, F.concat_ws(" ", *at)).alias("phrase"), F.when(i < 0, F.size(w)).otherwise(1).alias("_n"))
+    c = rows.groupBy(by, "phrase").agg(F.sum("_n").alias("n")).filter(F.col("phrase").isNull() | (F.col("n") > (0 if size == 1 else 1)))
+    best = c.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(F.col("phrase").isNotNull(), F.desc("n"), "phrase"))).filter(F.col("nth") <= top + 1)
+    best = best.withColumn("total", F.max(F.when(F.col("phrase").isNull(), F.col("n"))).over(W.partitionBy(by))).filter(F.col("phrase").isNotNull() & F.col(by).isNotNull())
+    return best.select(by, "phrase", "n", (F.floor(F.col("n") * size * 1000.0 / F.col("total") + 0.5) / 10).alias("density"))
 
 
 def _density(size: int, by: str, name: str):
@@ -51,7 +56,7 @@ SELECT r.{by}, phrase, n, floor(n * {size} * 1000.0 / total + 0.5)::DOUBLE / 10
 
     def run(spark, sf_dir):
         d = table(spark, sf_dir, "documents").filter("text is not null").select("lang", "doc_id", t.words(F.col("text")).alias("w"))
-        return density(d, by, "w", size)
+        return density(d, by, "w", size, dealt=by == "doc_id")
 
     run.__name__ = name
     return query(sql)(run)
