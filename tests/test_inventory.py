@@ -83,3 +83,16 @@ def test_addresses_that_differ_by_a_slash_are_one(spark):
     pages = spark.createDataFrame([("x.com", "https://x.com/a/")], "host string, url string")
     got = coverage.inventory(listed, pages, "host").first()
     assert (got.discovered, got.covered, got.uncrawled, got.off_host) == (1, 1, 0, 1)
+
+
+def test_only_files_that_queues_reach_are_taken_apart(spark, monkeypatch):
+    from crawlwright.sources import inventory as inv
+
+    read, entries = [], inv.entries
+    monkeypatch.setattr(inv, "entries", lambda rows, place: (read.extend(r.url for r in rows.select("url").collect()), entries(rows, place))[1])
+    xml = "<sitemap><loc>https://a.com/2.xml</loc></sitemap><url><loc>https://a.com/p</loc></url>"
+    files = spark.createDataFrame([(f"https://a.com/{n}.xml", True, 200, xml) for n in range(1, 40)], "url string, ok boolean, status int, xml string")
+    seeds = spark.createDataFrame([("a", "https://a.com", 0, "https://a.com/1.xml")], "site string, start string, place int, url string")
+    out = inv.inventory(spark, seeds, files)
+    assert tuple(out.sites.select("urls_discovered", "sitemaps_fetched", "truncated").first()) == (1, 2, False)
+    assert set(read) == {"https://a.com/1.xml", "https://a.com/2.xml"}  # before, all 39
