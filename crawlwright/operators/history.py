@@ -10,6 +10,8 @@ from crawlwright.functions import text as t
 from crawlwright.functions import urls as u
 
 SEVERITIES = ["critical", "warning", "notice"]
+#: Findings that one task gets, on the average.
+TASK_ROWS = 1 << 19
 
 
 def numbered_reports(reports: DataFrame, by: str) -> DataFrame:
@@ -18,17 +20,38 @@ def numbered_reports(reports: DataFrame, by: str) -> DataFrame:
     return reports.withColumn("n", F.row_number().over(line)).withColumn("latest", F.count("*").over(W.partitionBy(by)))
 
 
+def _listed(findings: DataFrame) -> tuple[DataFrame, int]:
+    """The findings that count, and the number of tasks among which they are dealt: it follows their number, so what one task holds doesn't grow with them."""
+    listed = findings.filter("key is not null and severity <> 'good'")
+    return listed, max(listed.sparkSession.sparkContext.defaultParallelism, -(-listed.count() // TASK_ROWS))
+
+
+def _issues(numbered: DataFrame, listed: DataFrame, tasks: int, by: str, sums: list[Column], again: list[Column]) -> DataFrame:
+    """(by, key, n, latest, sums): each issue of each known report once, with sums over its findings; dealt by site and issue. again: sums over sums of the same names.
+
+    Findings are summed up for each part of the input first, so a report or an issue that has most of them isn't one task.
+    """
+    on = [by, "report"] if by in listed.columns else ["report"]
+    own = [*on, "key", "_part"]
+    parts = listed.withColumn("_part", F.spark_partition_id()).repartition(tasks, *own).groupBy(*own).agg(*sums).drop("_part")
+    once = parts.repartition(tasks, *on).groupBy(*on, "key").agg(*again)
+    known = numbered.filter(F.col(by).isNotNull()).select(by, "report", "n", "latest")
+    return once.join(known, on).drop("report").repartition(tasks, by, "key")
+
+
 def issue_runs(numbered: DataFrame, findings: DataFrame, by: str) -> DataFrame:
     """(by, key, run, severity, first, last, fixed): the runs of reports in a row that have an issue. first and last are report numbers, fixed the
     number of the first report without it, null if it is still there; run counts from 1, so a run over 1 is an issue that came back.
 
-    findings: by, report, key, severity; several of one key in a report count once, with the gravest severity. All pairs of neighbouring
+    findings: report, key, severity, and by unless a report's name tells its site; several of one key in a report count once, with the gravest severity. They are
+    read twice, so what is costly to make should be a written table. All pairs of neighbouring
     reports are compared at once: an issue's report numbers that follow each other without a gap are one run, so nothing is joined a pair
     at a time, and a window holds one issue of one site. Findings of unknown reports, or without a key, are left out.
     """
+    listed, tasks = _listed(findings)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    rows = findings.filter("key is not null and severity <> 'good'").groupBy(by, "report", "key").agg(F.min_by("severity", F.when(rank == 0, 9).otherwise(rank)).alias("severity"))
-    rows = rows.join(numbered.select(by, "report", "n", "latest"), [by, "report"])
+    worst = F.min_by("severity", F.when(rank == 0, 9).otherwise(rank)).alias("severity")
+    rows = _issues(numbered, listed, tasks, by, [worst], [worst])
     line = W.partitionBy(by, "key").orderBy("n")
     rows = rows.withColumn("_new", F.coalesce(F.col("n") > F.lag("n").over(line) + 1, F.lit(True))).withColumn("run", F.sum(F.col("_new").cast("int")).over(line))
     runs = rows.groupBy(by, "key", "run").agg(F.max_by("severity", "n").alias("severity"), F.min("n").alias("first"), F.max("n").alias("last"), F.first("latest").alias("_latest"))
@@ -37,15 +60,24 @@ def issue_runs(numbered: DataFrame, findings: DataFrame, by: str) -> DataFrame:
 
 def report_deltas(numbered: DataFrame, findings: DataFrame, by: str) -> DataFrame:
     """(by, report, n, status, score_before, score_delta, issues, new, returned, fixed, persistent, critical_delta, warning_delta, notice_delta): every report against the one
-    before; the first of a site is a first_run, whose changes are null. returned are those of the new that an older report had."""
-    runs = issue_runs(numbered, findings, by)
-    starts = runs.select(by, F.col("first").alias("n"), F.lit(1).alias("new"), (F.col("run") > 1).cast("int").alias("returned"), F.lit(0).alias("fixed"))
-    ends = runs.filter("fixed is not null").select(by, F.col("fixed").alias("n"), F.lit(0).alias("new"), F.lit(0).alias("returned"), F.lit(1).alias("fixed"))
-    moved = starts.unionByName(ends).groupBy(by, "n").agg(*[F.sum(c).alias(c) for c in ("new", "returned", "fixed")])
-    listed = findings.filter("key is not null and severity <> 'good'").join(numbered.select(by, "report", "n"), [by, "report"])
-    counts = listed.groupBy(by, "n").agg(F.count_distinct("key").alias("issues"), *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+    before; the first of a site is a first_run, whose changes are null. returned are those of the new that an older report had. findings as for issue_runs().
+
+    One window over a site's issue tells, from the reports before and after that have it, whether it is new, came back or is gone in the next; that and the counts are summed by report.
+    """
+    listed, tasks = _listed(findings)
+    issues = _issues(numbered, listed, tasks, by, [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES], [F.sum(s).alias(s) for s in SEVERITIES])
+    line = W.partitionBy(by, "key").orderBy("n")
+    n = F.col("n")
+    issues = issues.withColumns({"_before": F.lag("n").over(line), "_after": F.lead("n").over(line)})
+    back = F.coalesce(F.col("_before") < n - 1, F.lit(False))
+    here = {"n": n, "issues": F.lit(1), "new": (back | F.col("_before").isNull()).cast("int"), "returned": back.cast("int"), "fixed": F.lit(0)} | {s: F.col(s) for s in SEVERITIES}
+    gone = {k: F.lit(0) for k in ("issues", "new", "returned")} | {"n": n + 1, "fixed": F.lit(1)} | {s: F.lit(0).cast("long") for s in SEVERITIES}
+    both = [F.struct(*[x[k].alias(k) for k in here]) for x in (here, gone)]
+    moved = issues.select(by, F.inline(F.when(F.col("_after") == n + 1, F.array(both[0])).otherwise(F.array(*both))))
+    sums = [k for k in here if k != "n"]
+    moved = moved.repartition(tasks, by, "n").groupBy(by, "n").agg(*[F.sum(c).alias(c) for c in sums])
+    rows = numbered.repartition(tasks, by, "n").join(moved, [by, "n"], "left").fillna(0, sums).repartition(tasks, by)
     line = W.partitionBy(by).orderBy("n")
-    rows = numbered.join(moved, [by, "n"], "left").join(counts, [by, "n"], "left").fillna(0, ["new", "returned", "fixed", "issues", *SEVERITIES])
     first = F.col("n") == 1
     later: dict[str, Column] = {c: F.when(~first, F.col(c)) for c in ("new", "returned", "fixed")}
     later |= {f"{s}_delta": F.col(s) - F.lag(s).over(line) for s in SEVERITIES}
@@ -57,7 +89,7 @@ def report_deltas(numbered: DataFrame, findings: DataFrame, by: str) -> DataFram
 def regressions(deltas: DataFrame, monitored: DataFrame, by: str) -> DataFrame:
     """deltas() of monitored reports (by, report) that are worse than the report before: new issues, or more critical ones or warnings."""
     worse = F.expr("status = 'ready' and (new > 0 or critical_delta > 0 or warning_delta > 0)")
-    return deltas.join(monitored.select(by, "report").distinct(), [by, "report"], "left_semi").filter(worse)
+    return deltas.join(monitored.select(by, "report"), [by, "report"], "left_semi").filter(worse)
 
 
 def proof_url(url: Column) -> Column:

@@ -39,6 +39,21 @@ def test_history(spark):
     assert {(r.site, r.key, r.first): r.fixed for r in h.issue_runs(numbered, findings, "site").collect()}.keys() == {(s, k, n + 1) for s, line in order.items() for n, r in enumerate(line) for k in have[r[1]] if not n or k not in have[line[n - 1][1]]}
 
 
+def test_tasks_follow_the_findings(spark, monkeypatch):
+    monkeypatch.setattr(h, "TASK_ROWS", 10)
+    numbered = h.numbered_reports(spark.range(60).selectExpr("nullif(id % 3, 2) as site", "id as report", "id as at", "id % 7 as score"), "site")
+    found = spark.range(300).selectExpr("id % 61 as report", "id % 4 as key", "if(id % 5 = 0, 'critical', 'warning') as severity")
+    sited = found.join(numbered.select("site", "report"), "report")
+    listed = h.report_deltas(numbered, found, "site")
+    assert listed.rdd.getNumPartitions() == 30 and h.issue_runs(numbered, found, "site").rdd.getNumPartitions() == 30
+    rows = lambda df: sorted(map(str, df.collect()))
+    # a report's name tells its site
+    assert rows(listed) == rows(h.report_deltas(numbered, sited, "site")) and rows(h.issue_runs(numbered, found, "site")) == rows(h.issue_runs(numbered, sited, "site"))
+    assert listed.filter("site is null").agg(F.sum("issues"), F.count("*")).first() == (0, 20) and not h.issue_runs(numbered, found, "site").filter("site is null").count()
+    twice = numbered.union(numbered)
+    assert rows(h.regressions(listed, twice, "site")) == rows(h.regressions(listed, numbered, "site"))
+
+
 def test_proofs(spark):
     issue = lambda i, title, page="https://www.E.com/a/?x#y": (i, " Warning", title, page, "crawl")
     issues = [("p1", "fixed", "i1", "warning", "Slow  page", "http://e.com/a", "CRAWL"), ("p1", "current", "i2", None, None, None, None), ("p1", "current", "i3", *issue("", "Title")[1:]), ("p2", "fixed", "i1", *issue("", "Other")[1:])]
